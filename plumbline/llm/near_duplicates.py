@@ -9,12 +9,13 @@ compared block by block. Independent runs repeat until the recall that the colli
 threshold is reached. An exact check of the shingle sets ends the join, so every pair that comes out is right.
 
 How the plan holds at scale: copies (equal word sequences) fold into one representative before the tree; a tree row is
-(path, record number, 48-bit sketch), never text; bucket sizes are counted with map-side partial sums, so a hot bucket
+(path, record number, sketch of 18 bytes), never text; bucket sizes are counted with map-side partial sums, so a hot bucket
 is known, and split, before its rows are shuffled; no bucket above `bucket` rows is ever compared in one task.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -30,10 +31,11 @@ from plumbline.session import rows_at_most, written
 
 WORD = re.compile(r"[a-z0-9_]+")
 POSITIONS = 48
-#: Unequal sketch bits (of 48) that a candidate may show. A pair of similarity 0.7 shows 7.2 on average, s.d. 2.5.
-SKETCH_SLACK_SD = 3.6
+#: A sketch keeps the lowest PLANES bits of each MinHash value, one 48-bit number for each bit. Positions that differ in
+#: any bit count against a candidate; it may show SLACK_SD standard deviations more than a pair at the threshold.
+PLANES, SLACK_SD = 3, 3.6
+_SKETCH = [f"s{k}" for k in range(PLANES)]
 BROADCAST_ROWS = 500_000  # of 8 bytes each: at most a few MB
-_M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 class _WordHash(dict):
@@ -145,15 +147,14 @@ def _children(branching: float, positions: int = POSITIONS):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limit = np.uint64(int(branching / positions * 2**64))
         where = _mix(np.arange(1, positions + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
-        schema = pa.schema([("rid", pa.int64()), ("sig", pa.binary()), ("sketch", pa.int64()), ("parent_n", pa.int64()), ("paths", pa.list_(pa.int64()))])
+        names = ["rid", "sig", *_SKETCH, "parent_n", "paths"]
         for whole in batches:
             for start in range(0, whole.num_rows, 2000):
                 batch = whole.slice(start, 2000)
                 n = batch.num_rows
                 sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(n, positions)
                 token = _mix(sig.astype(np.uint64) + where[None, :])
-                bits = (sig & np.uint32(1)).astype(np.int64)
-                sketch = (bits << np.arange(positions, dtype=np.int64)[None, :]).sum(1)
+                planes = [(((sig >> np.uint32(k)) & np.uint32(1)).astype(np.int64) << np.arange(positions, dtype=np.int64)).sum(1) for k in range(PLANES)]
                 lists = batch.column("nodes")
                 sizes = np.diff(lists.offsets.to_numpy())
                 nodes = lists.flatten().to_numpy().view(np.uint64) if sizes.sum() else np.empty(0, np.uint64)
@@ -170,8 +171,8 @@ def _children(branching: float, positions: int = POSITIONS):
                 order = np.argsort(owner_, kind="stable")
                 offsets = np.concatenate(([0], np.cumsum(np.bincount(owner_, minlength=n)))).astype(np.int32)
                 yield pa.record_batch(
-                    [batch.column("rid"), batch.column("sig"), pa.array(sketch), batch.column("parent_n"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(paths_[order].view(np.int64)))],
-                    schema=schema,
+                    [batch.column("rid"), batch.column("sig"), *map(pa.array, planes), batch.column("parent_n"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(paths_[order].view(np.int64)))],
+                    names=names,
                 )
 
     return run
@@ -244,8 +245,8 @@ class NearDuplicates:
     def __init__(self, df: DataFrame, id_col: str, text_cols: list[str], threshold: float = 0.8, shingle: int = 5, bucket: int = 48, branching: float = 2.0, target_recall: float = 0.999, max_depth: int = 8):
         self.threshold, self.shingle, self.bucket, self.branching, self.max_depth = threshold, shingle, bucket, branching, max_depth
         self.runs = runs_for(target_recall, threshold, branching, 3)
-        slack = POSITIONS * (1 - threshold) / 2
-        self.most_unequal = math.ceil(slack + SKETCH_SLACK_SD * math.sqrt(slack * (1 + threshold) / 2))
+        unequal = (1 - threshold) * (1 - 0.5**PLANES)
+        self.most_unequal = math.ceil(POSITIONS * unequal + SLACK_SD * math.sqrt(POSITIONS * unequal * (1 - unequal)))
         self.texts = _describe_text(df, id_col, text_cols)
         described = self.texts.mapInArrow(_describe(shingle), _BASE).withColumn("rid", F.monotonically_increasing_id())
         self.base = written(described, "sets")
@@ -267,22 +268,22 @@ class NearDuplicates:
         reps = _prune(self.base.select("rid", "sig"), self.again.select("rid"), "left_anti")
         seeds = [int(x) for x in _mix(np.arange(1, self.runs + 1, dtype=np.uint64)).view(np.int64)]
         level = reps.withColumn("nodes", F.array(*[F.lit(s) for s in seeds])).withColumn("parent_n", F.lit(2**62))
-        kind = T.StructType([T.StructField("rid", T.LongType()), T.StructField("sig", T.BinaryType()), T.StructField("sketch", T.LongType()), T.StructField("parent_n", T.LongType()), T.StructField("paths", T.ArrayType(T.LongType()))])
+        kind = f"rid bigint, sig binary, {''.join(f'{x} bigint, ' for x in _SKETCH)}parent_n bigint, paths array<bigint>"
         met = []
         for depth in range(1, self.max_depth + 1):
             grown = level.mapInArrow(_children(self.branching), kind)
-            rows = grown.select("rid", "sig", "sketch", "parent_n", F.explode("paths").alias("path"))
+            rows = grown.select("rid", "sig", *_SKETCH, "parent_n", F.explode("paths").alias("path"))
             counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.max("parent_n").alias("parent_n"))
             hot = written(counts.filter(F.col("n") > self.bucket), "hot")
             small = rows_at_most(hot, BROADCAST_ROWS)
             known = F.broadcast(hot.select("path", "n")) if small else hot.select("path", "n")
-            cool = rows.select("path", "rid", "sketch").join(known, "path", "left_anti")
+            cool = rows.select("path", "rid", *_SKETCH).join(known, "path", "left_anti")
             met.append(self._compare(cool, ["path"]))
             if hot.isEmpty():
                 break
             dense = (F.col("n") * 2 >= F.col("parent_n")) if depth < self.max_depth else F.lit(True)
             known = hot.filter(dense).select("path", "n")
-            blocks = rows.select("path", "rid", "sketch").join(F.broadcast(known) if small else known, "path")
+            blocks = rows.select("path", "rid", *_SKETCH).join(F.broadcast(known) if small else known, "path")
             met.append(self._compare(self._blocks(blocks), ["path", "cell"]))
             known = hot.filter(~dense).select("path", F.col("n").alias("parent_n"))
             split = rows.select("path", "rid", "sig").join(F.broadcast(known) if small else known, "path")
@@ -301,12 +302,13 @@ class NearDuplicates:
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1))
         out = rows.withColumn("many", many).withColumn("own", own).withColumn("other", other)
         cell = F.least("own", "other") * F.col("many") + F.greatest("own", "other")
-        return out.select("path", cell.alias("cell"), "rid", "sketch")
+        return out.select("path", cell.alias("cell"), "rid", *_SKETCH)
 
     def _compare(self, rows: DataFrame, on: list[str]) -> DataFrame:
-        a = rows.select(*on, F.col("rid").alias("ra"), F.col("sketch").alias("sa"))
-        b = rows.select(*on, F.col("rid").alias("rb"), F.col("sketch").alias("sb"))
-        near = F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= self.most_unequal
+        a = rows.select(*on, F.col("rid").alias("ra"), *[F.col(x).alias(f"a{x}") for x in _SKETCH])
+        b = rows.select(*on, F.col("rid").alias("rb"), *[F.col(x).alias(f"b{x}") for x in _SKETCH])
+        differs = functools.reduce(lambda x, y: x.bitwiseOR(y), [F.col(f"a{x}").bitwiseXOR(F.col(f"b{x}")) for x in _SKETCH])
+        near = F.bit_count(differs) <= self.most_unequal
         return a.join(b.hint("merge"), on).filter((F.col("ra") < F.col("rb")) & near).select("ra", "rb")
 
     def pairs(self) -> DataFrame:
