@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbline.llm import near_duplicates
+from plumbline.llm import heldout, near_duplicates, splitting, token_ids
 from plumbline.sources.tables import table
 
 
@@ -24,9 +25,45 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.groups(_near(spark, folder))
 
 
+def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "code_chunks").select("chunk_id", "content", "start_line")
+    return splitting.split_oversized(chunks).dropDuplicates(["chunk_id", "piece_no"])
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    chunks = table(spark, folder, "code_chunks").select("chunk_id", "content", "start_line")
+    return splitting.split_oversized(chunks).filter("piece_no = 1").select("chunk_id").distinct()
+
+
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return token_ids.encode_corpus(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+def _leaks(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    items = table(spark, folder, "eval_items").select("item_id", "passage")
+    return heldout.leaks(documents, "doc_id", "text", items, "item_id", "passage", least=12)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _leaks(spark, folder).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per test item: in how many documents it leaked, and the longest span of it."""
+    found = _leaks(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"), F.max("words").alias("longest"))
+    items = table(spark, folder, "eval_items").select("item_id").distinct()
+    return items.join(found, "item_id", "left").select("item_id", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("longest", F.lit(0)).alias("longest"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
 
+_SQL = {
+    "p3_found": "SELECT DISTINCT chunk_id FROM code_chunks WHERE length(content) > 2000",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
