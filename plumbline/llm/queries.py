@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import heldout, near_duplicates, splitting, token_ids
+from plumbline.llm import credentials, heldout, near_duplicates, splitting, token_ids
 from plumbline.sources.tables import table
 
 
@@ -25,6 +25,20 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates.groups(_near(spark, folder))
 
 
+_CODE = {"analyses": "source_code", "function_records": "source"}
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = [credentials.credential_lines(table(spark, folder, t).select("id", c), "id", c).select(F.lit(t).alias("src_table"), "id", "line_no") for t, c in _CODE.items()]
+    return found[0].union(found[1]).distinct()
+
+
+def p2_redacted(spark: SparkSession, folder: str) -> DataFrame:
+    """The texts that hold credentials, with each masked; one row per table and id."""
+    masked = [credentials.redacted(table(spark, folder, t).select("id", c), "id", c).select(F.lit(t).alias("src_table"), "id", "n", "redacted") for t, c in _CODE.items()]
+    return masked[0].union(masked[1]).dropDuplicates(["src_table", "id"])
+
+
 def p3_pieces(spark: SparkSession, folder: str) -> DataFrame:
     chunks = table(spark, folder, "code_chunks").select("chunk_id", "content", "start_line")
     return splitting.split_oversized(chunks).dropDuplicates(["chunk_id", "piece_no"])
