@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import credentials, heldout, near_duplicates, splitting, token_ids
+from plumbline.llm import credentials, documented, heldout, near_duplicates, splitting, token_ids
 from plumbline.sources.tables import table
 
 
@@ -49,6 +49,24 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(chunks).filter("piece_no = 1").select("chunk_id").distinct()
 
 
+def _records(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "function_records").select("id", "name", "signature", "source", "docstring")
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return documented.documented(_records(spark, folder), with_code=False).distinct()
+
+
+def p5_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    return documented.documented(_records(spark, folder)).dropDuplicates(["id"])
+
+
+def p5_file_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """The documented functions of the uploaded files themselves."""
+    files = table(spark, folder, "analyses").select("id", "source_code", "language")
+    return documented.documented_in_files(files, "id", "source_code", "language").dropDuplicates(["id", "lineno"])
+
+
 def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return token_ids.encode_corpus(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text")
 
