@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import credentials, documented, heldout, near_duplicates, splitting, token_ids
+from plumbline.llm import credentials, documented, heldout, near_duplicates, splitting, token_ids, truncation
 from plumbline.sources.tables import table
 
 
@@ -49,6 +49,32 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return splitting.split_oversized(chunks).filter("piece_no = 1").select("chunk_id").distinct()
 
 
+def _truncation(spark: SparkSession, folder: str) -> truncation.Truncation:
+    return truncation.Truncation(table(spark, folder, "violations").select("id", "expected", "actual"), "id", ["expected", "actual"])
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _truncation(spark, folder).cut()
+
+
+def p4_limits(spark: SparkSession, folder: str) -> DataFrame:
+    """The hidden storage limits: field, unit, length, values of that length, and how many of them end openly."""
+    return _truncation(spark, folder).limits()
+
+
+def p4_providers(spark: SparkSession, folder: str) -> DataFrame:
+    """Values and cut values by the provider of the analysis behind the claim; null where no analysis is known."""
+    verdicts = _truncation(spark, folder).verdicts().groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if("cut").alias("n_cut"))
+    claims = table(spark, folder, "violations").select("id", "claim_id").dropDuplicates(["id"]).join(verdicts, "id")
+    functions = table(spark, folder, "claims").select(F.col("id").alias("claim_id"), "function_id").dropDuplicates(["claim_id"])
+    analyses = table(spark, folder, "function_records").select(F.col("id").alias("function_id"), "analysis_id").dropDuplicates(["function_id"])
+    providers = table(spark, folder, "analyses").select(F.col("id").alias("analysis_id"), "llm_provider").dropDuplicates(["analysis_id"])
+    # one row per violation goes up the keys; sums by few providers combine before the last shuffle
+    found = claims.join(functions, "claim_id", "left").join(analyses, "function_id", "left").join(providers, "analysis_id", "left")
+    sums = found.groupBy("llm_provider").agg(F.sum("n").alias("n_values"), F.sum("n_cut").alias("n_cut"))
+    return sums.withColumn("share", F.round(F.col("n_cut") / F.col("n_values"), 6))
+
+
 def _records(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "function_records").select("id", "name", "signature", "source", "docstring")
 
