@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import credentials, documented, heldout, near_duplicates, splitting, token_ids, truncation
+from plumbline.llm import credentials, documented, garbled, heldout, near_duplicates, splitting, token_ids, truncation
 from plumbline.sources.tables import table
 
 
@@ -114,6 +114,23 @@ def p7_items(spark: SparkSession, folder: str) -> DataFrame:
     return items.join(found, "item_id", "left").select("item_id", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), F.coalesce("longest", F.lit(0)).alias("longest"))
 
 
+def _garbled(spark: SparkSession, folder: str) -> garbled.Garbled:
+    return garbled.Garbled(table(spark, folder, "documents").select("doc_id", "text"), "doc_id", "text")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _garbled(spark, folder).restored().select("doc_id").distinct()
+
+
+def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
+    return _garbled(spark, folder).restored()
+
+
+def p8_transformations(spark: SparkSession, folder: str) -> DataFrame:
+    """The pairs of encodings that aligned near-twins gave evidence of."""
+    return _garbled(spark, folder).votes()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
