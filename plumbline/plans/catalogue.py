@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,8 +27,12 @@ def query(name: str, sql: str | None = None):
     return put
 
 
+_FAMILIES = ("reporting", "texts", "verification", "mining", "retrieval", "graphs", "states")
+
+
 def _load() -> None:
-    pass
+    for family in _FAMILIES:
+        importlib.import_module(f"plumbline.plans.{family}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
