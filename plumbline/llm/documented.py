@@ -14,12 +14,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.codetext import clean, functions, language_of
+
 MIN_WORDS = 4
 # Sentences that say nothing of a function's behaviour.
 PLACEHOLDER = re.compile(
@@ -42,229 +43,6 @@ _UNSPACED = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7a3\u0e00-\u0e7f]"
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+|[^\W\d_A-Za-z]+")
 _FILLER = {"a", "an", "the", "this", "function", "method", "func", "fn", "def", "routine", "procedure", "helper", "implementation", "of", "for", "to", "is", "it", "that", "which", "s"}
 
-_LANGUAGES = {"py": "python", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript", "java": "java", "go": "go", "rs": "rust", "rb": "ruby", "lua": "lua"}
-_WORDS = r"(?:(?:pub(?:\([^)]*\))?|async|unsafe|const|extern(?:\s+\"[^\"]*\")?|export|default|public|private|protected|static|final|abstract|synchronized|native|override|open|internal|local|declare)\s+)*"
-SIGNATURES = {
-    "python": re.compile(r"\s*(?:async\s+)?def\s+(?P<name>\w+)\s*[(\[]"),
-    "go": re.compile(r"\s*func\s+(?:\([^)]*\)\s*)?(?P<name>\w+)\s*[(\[]"),
-    "rust": re.compile(rf"\s*{_WORDS}fn\s+(?P<name>\w+)\s*[(<]"),
-    "java": re.compile(rf"\s*(?:@\w+(?:\([^)]*\))?\s+)*{_WORDS}(?:<[^>]+>\s*)?(?!return\b|new\b|throw\b|else\b)[\w.]+(?:<[^()]*>)?(?:\[\])*\s+(?P<name>(?!if\b|for\b|while\b|switch\b|catch\b)\w+)\s*\((?=[^;]*$)"),
-    "javascript": re.compile(
-        rf"\s*{_WORDS}(?:function\s*\*?\s*(?P<name>\w+)\s*[(<]|(?:const|let|var)\s+(?P<name2>\w+)\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|(?:<[^>]*>)?\([^)]*\)\s*(?::\s*[^=]+)?=>|\w+\s*=>)"
-        rf"|(?P<name3>(?!if\b|for\b|while\b|switch\b|catch\b|return\b|function\b)[\w$#]+)\s*(?:<[^>]*>)?\([^;]*\)\s*(?::\s*[^{{]+)?\{{\s*$)"
-    ),
-    "ruby": re.compile(r"\s*def\s+(?:self\.)?(?P<name>\w+[?!=]?)"),
-    "lua": re.compile(r"\s*(?:local\s+)?function\s+(?:\w+[.:])*(?P<name>\w+)\s*\("),
-}
-SIGNATURES["typescript"] = SIGNATURES["javascript"]
-_MARKER = {"python": re.compile(r"\s*@"), "java": re.compile(r"\s*@(?!interface)"), "javascript": re.compile(r"\s*@\w"), "typescript": re.compile(r"\s*@\w"), "rust": re.compile(r"\s*#!?\["), "go": re.compile(r"\s*//(?:go:|nolint|export )"), "ruby": re.compile(r"(?!)"), "lua": re.compile(r"(?!)")}
-_LINE_DOC = {"rust": re.compile(r"\s*///(?!/) ?"), "go": re.compile(r"\s*// ?"), "ruby": re.compile(r"\s*#(?!!) ?"), "lua": re.compile(r"\s*---? ?")}
-_BLOCK_DOC = {"javascript": "/**", "typescript": "/**", "java": "/**", "rust": "/**", "go": "/*"}
-_OPENING_STRING = re.compile(r"(?:[uUrR]?)(\"\"\"|'''|\"|')")
-
-
-class Function(NamedTuple):
-    name: str
-    line: int  # of the signature, from 0
-    end: int  # the line after the last of the body
-    documentation: str | None
-    doc_lines: tuple[int, int]  # of the documentation, from 0; empty if there is none
-    signature: str
-
-
-def language_of(signature: str | None, source: str | None) -> str | None:
-    """The language of a function by the shape of its signature, else of the source's first signature."""
-    for text in (signature, source):
-        for line in (text or "").split("\n"):
-            for language in ("python", "go", "rust", "javascript", "java"):
-                if SIGNATURES[language].match(line) and (language != "python" or not line.rstrip().endswith("{")):
-                    return language
-    return None
-
-
-def functions(text: str, language: str) -> list[Function]:
-    """All functions of a text, inner ones too, in order of their signatures."""
-    pattern = SIGNATURES.get(language)
-    if pattern is None:
-        return []
-    lines = text.split("\n")
-    quiet = _inside_strings(lines) if language == "python" else set()
-    out = []
-    for i, line in enumerate(lines):
-        if i in quiet or not (m := pattern.match(line)):
-            continue
-        name = next(g for g in m.groups() if g)
-        head = _signature_end(lines, i)
-        end = _body_end(lines, i, head, language)
-        doc, span = _documentation(lines, i, head, end, language)
-        signature = " ".join(x.strip() for x in lines[i : head + 1]).rstrip("{: ").strip()
-        out.append(Function(name, i, end, doc, span, signature))
-    return out
-
-
-def _inside_strings(lines: list[str]) -> set[int]:
-    """Lines that begin within a string of three quotes."""
-    out, mark = set(), None
-    for i, line in enumerate(lines):
-        if mark:
-            out.add(i)
-        at = 0
-        while True:
-            if mark:
-                at = line.find(mark, at)
-                if at < 0:
-                    break
-                mark, at = None, at + 3
-            else:
-                m = re.compile(r"\"\"\"|'''|#|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'").search(line, at)
-                if not m or m.group() == "#":
-                    break
-                at = m.end()
-                if m.group() in ('"""', "'''"):
-                    mark = m.group()
-    return out
-
-
-def _signature_end(lines: list[str], i: int) -> int:
-    """The line on which the parameter list that starts on line i is closed."""
-    depth, seen = 0, False
-    for j in range(i, min(len(lines), i + 60)):
-        for c in lines[j]:
-            if c in "([":
-                depth, seen = depth + 1, True
-            elif c in ")]":
-                depth -= 1
-        if not seen or depth <= 0:
-            return j
-    return i
-
-
-def _indent(line: str) -> int:
-    return len(line) - len(line.lstrip())
-
-
-def _body_end(lines: list[str], i: int, head: int, language: str) -> int:
-    if language == "python":
-        end, base = head + 1, _indent(lines[i])
-        quiet = _inside_strings(lines[head + 1 :])
-        for j in range(head + 1, len(lines)):
-            if lines[j].strip() and j - head - 1 not in quiet and _indent(lines[j]) <= base:
-                break
-            if lines[j].strip():
-                end = j + 1
-        return end
-    if language in ("ruby", "lua"):
-        depth = 0
-        for j in range(i, len(lines)):
-            code = re.sub(r"(?:#|--).*|\"[^\"]*\"|'[^']*'", "", lines[j])
-            depth += len(re.findall(r"^\s*(?:def|class|module|if|unless|while|until|case|begin|for|function)\b|\bdo\b(?!.*\bwhile\b)|=\s*function\b|\bfunction\s*\(", code)) - len(re.findall(r"\bend\b", code))
-            if depth <= 0 and j >= head:
-                return j + 1
-        return len(lines)
-    stack, comment, seen = 0, False, False
-    for j in range(i, len(lines)):
-        line, k = lines[j], 0
-        while k < len(line):
-            two, c = line[k : k + 2], line[k]
-            if comment:
-                k = line.find("*/", k)
-                if k < 0:
-                    break
-                comment, k = False, k + 2
-                continue
-            if two == "//":
-                break
-            if two == "/*":
-                comment, k = True, k + 2
-                continue
-            if c in "\"`" or c == "'" and language != "rust":
-                closing = line.find(c, k + 1)
-                while closing > 0 and line[closing - 1] == "\\" and line[closing - 2] != "\\":
-                    closing = line.find(c, closing + 1)
-                k = closing + 1 if closing > 0 else len(line)
-                continue
-            if c == "{":
-                stack, seen = stack + 1, True
-            elif c == "}":
-                stack -= 1
-            k += 1
-        if j >= head and (seen and stack <= 0 or not seen and line.rstrip().endswith((";", ","))):
-            return j + 1
-    return len(lines)
-
-
-def _documentation(lines: list[str], i: int, head: int, end: int, language: str) -> tuple[str | None, tuple[int, int]]:
-    if language == "python":
-        return _opening_string(lines, head, end)
-    j = i - 1
-    marker, line_doc, block = _MARKER[language], _LINE_DOC.get(language), _BLOCK_DOC.get(language)
-    found: list[str] = []
-    last = None
-    while j >= 0:
-        line = lines[j]
-        if line_doc and line_doc.match(line) and not marker.match(line):
-            found.append(line_doc.sub("", line, count=1))
-            last = last if last is not None else j + 1
-            j -= 1
-        elif found:
-            break
-        elif marker.match(line):
-            j -= 1
-        elif block and line.rstrip().endswith("*/"):
-            top = j
-            while top >= 0 and "/*" not in lines[top]:
-                top -= 1
-            if top < 0 or not lines[top].lstrip().startswith(block) or lines[top].lstrip().startswith("/**/"):
-                return None, (i, i)
-            return clean("\n".join(lines[top : j + 1])), (top, j + 1)
-        else:
-            break
-    if not found:
-        return None, (i, i)
-    return clean("\n".join(reversed(found))), (j + 1, last)
-
-
-def _opening_string(lines: list[str], head: int, end: int) -> tuple[str | None, tuple[int, int]]:
-    rest = re.sub(r"^.*?\)\s*(?:->[^:]*(?:\[[^\]]*\])?[^:]*)?:", "", lines[head], count=1).strip()
-    j = head
-    text = rest if rest and not rest.startswith("#") else ""
-    while not text:
-        j += 1
-        if j >= min(end, len(lines)):
-            return None, (head, head)
-        s = lines[j].strip()
-        if s and not s.startswith("#"):
-            text = s
-    m = _OPENING_STRING.match(text)
-    if not m:
-        return None, (head, head)
-    mark = m.group(1)
-    body = text[m.end() :] + "\n" + "\n".join(lines[j + 1 : end])
-    if len(mark) == 1:
-        body = body.split("\n")[0]
-    closing = re.search(rf"(?<!\\){mark}", body)
-    if not closing or re.match(r"\s*(?:[.\[+%]|if\b|in\b|==)", body[closing.end() :].split("\n")[0]):
-        return None, (head, head)
-    doc = body[: closing.start()]
-    return clean(doc), (j, j + doc.count("\n") + 1)
-
-
-def clean(text: str) -> str:
-    """A documentation without comment marks, common indentation and blank ends."""
-    t = text.strip()
-    for mark in ('"""', "'''"):
-        if t.startswith(mark):
-            t = t[3:]
-            t = t[:-3] if t.endswith(mark) else t
-    if t.startswith("/*"):
-        t = re.sub(r"^/\*+!?|\*+/$", "", t)
-        t = "\n".join(re.sub(r"^\s*\*+(?!\*) ?", "", x) for x in t.split("\n"))
-    elif re.match(r"//|#(?!\w)|--\s", t) and all(re.match(r"\s*(?://|#|--|$)", x) for x in t.split("\n")):
-        t = "\n".join(re.sub(r"^\s*(?:///?!?|#+|---?) ?", "", x) for x in t.split("\n"))
-    lines = [x.rstrip() for x in t.expandtabs(4).split("\n")]
-    margin = min((_indent(x) for x in lines[1:] if x), default=0)
-    return "\n".join([lines[0].strip(), *[x[margin:] for x in lines[1:]]]).strip()
-
 
 def _stem(word: str) -> str:
     return re.sub(r"(?:ies|es|s|ed|ing|e|y)$", "", word) if len(word) > 3 else word
