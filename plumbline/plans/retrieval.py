@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import columns as C
 from plumbline.operators import retrieval as X
+from plumbline.operators.graph import numbered
 from plumbline.plans.catalogue import query
 from plumbline.plans.common import WITH, chunks
 from plumbline.sources.tables import table
@@ -86,8 +87,7 @@ def _(spark, folder):
 
 @query("vocabulary", f"{_Q}, {_TF}, vo AS (SELECT DISTINCT term FROM tc) SELECT term, row_number() OVER (ORDER BY term) - 1 AS place FROM vo")
 def _(spark, folder):
-    # a global order has one numbering; the terms are one row each, and sorted parts are numbered from their sums
-    return _index(spark, folder)[2].select("term", (F.row_number().over(Window.orderBy("term")) - 1).cast("bigint").alias("place"))
+    return numbered(_index(spark, folder)[2].select("term"), "term")
 
 
 @query("tfidf_norm", f"{_Q}, {_TF}, {_IDF}, {_VEC} SELECT chunk_id, term, round(weight, 6) AS weight FROM ix")
