@@ -67,6 +67,14 @@ PATTERNS = (
 )
 
 
+#: A word, or one of several, without which a pattern cannot match; in lower case, by pattern number.
+TRIGGERS = {
+    **dict.fromkeys(range(1, 11), ("return",)), 11: ("must",), 12: ("should",), 13: ("can",), 14: ("expect",), 15: ("required",), 16: ("must",), 17: ("accept",), 18: ("must", "should"), 19: ("must", "should"), 20: ("must", "should", "cannot"),
+    21: ("modify",), 22: ("modif",), 23: ("return",), 24: ("mutate",), 25: ("sort",), 26: ("side",), 27: ("pure",), 28: ("update",), **dict.fromkeys((29, 31, 32, 33, 34, 35, 36), ("raise",)), 30: ("throw",),
+    37: ("handle",), 38: ("support",), 39: ("work",), 40: ("processe",), 41: ("accept",), 42: ("implement",), 43: ("complexity",), 44: ("complexity",), 45: ("run",), 46: ("linear",), 47: ("constant",),
+}
+
+
 def java(regex: str, unicode: bool = True) -> str:
     """The pattern for the JVM: its group syntax, UNIX lines, and letters of any script unless `unicode` is False."""
     return ("(?Ud)" if unicode else "(?d)") + regex.replace("(?P<", "(?<")

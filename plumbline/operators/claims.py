@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.columns import or_empty
-from plumbline.functions.patterns import PATTERNS, Pattern, group_number, java
+from plumbline.functions.patterns import PATTERNS, TRIGGERS, Pattern, group_number, java
 
 _ITEM = "array<struct<pattern_no:int,category:string,subject:string,predicate_object:string,conditionality:string,match_no:int,raw_text:string>>"
 
@@ -41,7 +41,12 @@ def _matches(text: Column, p: Pattern, unicode: bool) -> Column:
     found = F.transform(rows, one)
     if p.must:
         found = F.filter(found, lambda m: F.lower(m["raw_text"]).rlike(r"\bmust\b"))
-    return F.filter(found, lambda m: m["raw_text"] != "").cast(_ITEM)
+    found = F.filter(found, lambda m: m["raw_text"] != "").cast(_ITEM)
+    # most patterns miss most texts: a plain search for their word comes before the expression, and the groups are only
+    # taken where there is a match (the long s and the Kelvin sign fold onto letters in the expression, so here too)
+    low = F.translate(F.lower(text), "\u017f", "s")
+    held = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in TRIGGERS[p.number]])
+    return F.when(held & F.regexp_like(text, regex), found).otherwise(F.array().cast(_ITEM))
 
 
 def documentation_claims(functions: DataFrame, key: str, docstring: str = "docstring", categories: tuple[str, ...] | None = None, unicode: bool = True) -> DataFrame:

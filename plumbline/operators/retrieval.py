@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import columns as C
-from plumbline.session import rows_at_most
+from plumbline.session import rows_at_most, written
 
 BROADCAST_ROWS = 200_000
 #: Words whose presence marks a contract.
@@ -44,14 +44,48 @@ def tfidf(counts: DataFrame, weights: DataFrame, key: str) -> DataFrame:
     return raw.join(norm, key).select(key, "term", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(0.0).alias("weight"))
 
 
+class Index:
+    """Term counts, weights and unit vectors of a corpus, written to the shared folder and read by every search.
+
+    docs: (key, text). The tables are made when first asked for; texts without terms have no rows.
+    """
+
+    def __init__(self, docs: DataFrame, key: str, text: str, unicode: bool = True):
+        self.key, self.unicode = key, unicode
+        self.docs = docs
+        self.counts = written(term_counts(docs, key, text, unicode), "counts")
+        self.n_docs = docs.agg(F.count(F.lit(1)).alias("n"))
+        self._weights: DataFrame | None = None
+        self._vectors: DataFrame | None = None
+
+    @property
+    def weights(self) -> DataFrame:
+        if self._weights is None:
+            self._weights = written(idf(self.counts, self.n_docs), "weights")
+        return self._weights
+
+    @property
+    def vectors(self) -> DataFrame:
+        if self._vectors is None:
+            self._vectors = written(tfidf(self.counts, self.weights, self.key), "vectors")
+        return self._vectors
+
+    def query_vectors(self, queries: DataFrame, query: str, text: str) -> DataFrame:
+        return written(tfidf(term_counts(queries, query, text, self.unicode), self.weights, query), "queries")
+
+
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if rows_at_most(df, BROADCAST_ROWS) else df
 
 
 def dot_products(index: DataFrame, query_vectors: DataFrame, key: str, query: str) -> DataFrame:
-    """(query, key, score) of the pairs that share a term."""
+    """(query, key, score) of the pairs that share a term.
+
+    The index is spread by key; with the queries broadcast the sums by (query, key) then need no second shuffle, so what
+    moves is the index and not its pairs with the queries.
+    """
     q = query_vectors.select(query, "term", F.col("weight").alias("qw"))
-    return index.join(_small(q), "term").groupBy(query, key).agg(F.round(F.sum(F.col("weight") * F.col("qw")), 9).alias("score"))
+    return index.repartition(key).join(_small(q), "term").groupBy(query, key).agg(F.round(F.sum(F.col("weight") * F.col("qw")), 9).alias("score"))
 
 
 def top(scores: DataFrame, query: str, key: str, k: int, score: str = "score") -> DataFrame:
@@ -83,7 +117,7 @@ def overlap_scores(docs: DataFrame, terms: DataFrame, key: str, content: str, qu
     """
     words = terms.select(F.collect_set("term")).scalar()
     given = docs.select(key, F.lower(F.col(content)).alias("_text"), words.alias("_words"))
-    held = given.select(key, F.explode(F.filter("_words", lambda t: F.contains(F.col("_text"), t))).alias("term"))
+    held = given.select(key, F.explode(F.filter("_words", lambda t: F.contains(F.col("_text"), t))).alias("term")).repartition(key)
     return held.join(_small(terms), "term").groupBy(query, key, "length").agg(F.sum("n").alias("hits")).select(query, key, F.round(F.col("hits") / F.greatest("length", F.lit(1)), 9).alias("score"))
 
 
@@ -97,7 +131,7 @@ def bm25_scores(counts: DataFrame, terms: DataFrame, n_docs: DataFrame, key: str
     average = counts.select(key, "length").distinct().agg(F.avg("length")).scalar()
     norm = F.col("n") + k1 * (1 - b + b * F.col("length") / average)
     q = terms.select(query, "term", F.col("n").alias("qn")).join(weights, "term")
-    per = counts.join(_small(q), "term").groupBy(query, key).agg(F.sum(F.col("qn") * F.col("idf") * F.col("n") * (k1 + 1) / norm).alias("raw"))
+    per = counts.repartition(key).join(_small(q), "term").groupBy(query, key).agg(F.sum(F.col("qn") * F.col("idf") * F.col("n") * (k1 + 1) / norm).alias("raw"))
     best = F.max("raw").over(Window.partitionBy(query))
     return per.select(query, key, F.round(F.col("raw") / F.when(best > 0, best).otherwise(1.0), 9).alias("score"))
 

@@ -41,17 +41,12 @@ def _queries(spark, folder):
 
 
 def _index(spark, folder):
-    docs = _docs(spark, folder)
-    counts = X.term_counts(docs, "chunk_id", "text", unicode=False)
-    weights = X.idf(counts, docs.agg(F.count(F.lit(1)).alias("n")))
-    return docs, counts, weights
+    return X.Index(_docs(spark, folder).select("chunk_id", "text"), "chunk_id", "text", unicode=False)
 
 
 def _dense(spark, folder, k=10):
-    docs, counts, weights = _index(spark, folder)
-    q = _queries(spark, folder)
-    vectors = X.tfidf(X.term_counts(q, "item_id", "query", unicode=False), weights, "item_id")
-    return X.dense_top(X.tfidf(counts, weights, "chunk_id"), vectors, docs, q, "chunk_id", "item_id", k)
+    index, q = _index(spark, folder), _queries(spark, folder)
+    return X.dense_top(index.vectors, index.query_vectors(q, "item_id", "query"), index.docs, q, "chunk_id", "item_id", k)
 
 
 def _sparse(spark, folder, k=10):
@@ -77,23 +72,22 @@ def _(spark, folder):
 
 @query("term_frequency", f"{_Q}, {_TF} SELECT chunk_id, term, n, length::BIGINT AS length FROM tc")
 def _(spark, folder):
-    return _index(spark, folder)[1].select("chunk_id", "term", "n", F.col("length").cast("bigint").alias("length"))
+    return _index(spark, folder).counts.select("chunk_id", "term", "n", F.col("length").cast("bigint").alias("length"))
 
 
 @query("idf", f"{_Q}, {_TF}, {_IDF} SELECT term, df, round(idf, 6) AS idf FROM w")
 def _(spark, folder):
-    return _index(spark, folder)[2].select("term", "df", F.round("idf", 6).alias("idf"))
+    return _index(spark, folder).weights.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("vocabulary", f"{_Q}, {_TF}, vo AS (SELECT DISTINCT term FROM tc) SELECT term, row_number() OVER (ORDER BY term) - 1 AS place FROM vo")
 def _(spark, folder):
-    return numbered(_index(spark, folder)[2].select("term"), "term")
+    return numbered(_index(spark, folder).weights.select("term"), "term")
 
 
 @query("tfidf_norm", f"{_Q}, {_TF}, {_IDF}, {_VEC} SELECT chunk_id, term, round(weight, 6) AS weight FROM ix")
 def _(spark, folder):
-    _, counts, weights = _index(spark, folder)
-    return X.tfidf(counts, weights, "chunk_id").select("chunk_id", "term", F.round("weight", 6).alias("weight"))
+    return _index(spark, folder).vectors.select("chunk_id", "term", F.round("weight", 6).alias("weight"))
 
 
 @query("dense_topk", f"{_Q}, {_TF}, {_IDF}, {_VEC}, {_QVEC}, {_DENSE} SELECT item_id, chunk_id, round(score, 6) AS score, rank FROM dt")
@@ -133,9 +127,9 @@ def _(spark, folder):
     b3 AS (SELECT item_id, chunk_id, round(raw / CASE WHEN max(raw) OVER (PARTITION BY item_id) > 0 THEN max(raw) OVER (PARTITION BY item_id) ELSE 1 END, 9) AS score FROM b2) SELECT item_id, chunk_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank FROM b3 QUALIFY rank <= 10""",
 )
 def _(spark, folder):
-    docs, counts, _ = _index(spark, folder)
+    index = _index(spark, folder)
     terms = X.query_terms(_queries(spark, folder), "item_id", "query", unicode=False)
-    scores = X.bm25_scores(counts, terms, docs.agg(F.count(F.lit(1)).alias("n")), "chunk_id", "item_id")
+    scores = X.bm25_scores(index.counts, terms, index.n_docs, "chunk_id", "item_id")
     return X.top(scores, "item_id", "chunk_id", 10).select("item_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
