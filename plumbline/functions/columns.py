@@ -53,6 +53,16 @@ def or_empty(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def stripped(c: Column) -> Column:
+    """The text without white space (line ends and tabs too) around it."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
+def is_blank(c: Column) -> Column:
+    """Null, empty, or white space only."""
+    return ~or_empty(c).rlike(r"(?U)\S")
+
+
 def cut(text: Column, limit: int, mark: str = "...") -> Column:
     return F.when(F.length(text) > limit, F.concat(F.substring(text, 1, limit), F.lit(mark))).otherwise(text)
 

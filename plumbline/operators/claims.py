@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import or_empty
+from plumbline.functions.columns import or_empty, stripped
 from plumbline.functions.patterns import PATTERNS, TRIGGERS, Pattern, group_number, java
 
 _ITEM = "array<struct<pattern_no:int,category:string,subject:string,predicate_object:string,conditionality:string,match_no:int,raw_text:string>>"
@@ -30,12 +30,12 @@ def _matches(text: Column, p: Pattern, unicode: bool) -> Column:
     title = p.name.replace("_", " ")
 
     def one(m: Column, i: Column) -> Column:
-        obj, subject, condition = (F.trim(F.coalesce(m[k], F.lit(""))) for k in ("object", "subject", "condition"))
+        obj, subject, condition = (stripped(F.coalesce(m[k], F.lit(""))) for k in ("object", "subject", "condition"))
         said = F.when(obj != "", F.concat(F.lit(title + ": "), obj)).when(subject != "", F.concat(F.lit(title + ": "), subject)).otherwise(F.lit(title))
         bare = F.regexp_replace(condition, r"\.+$", "")
         return F.struct(
             F.lit(p.number).alias("pattern_no"), F.lit(p.category).alias("category"), F.when(subject != "", subject).otherwise("return").alias("subject"), said.alias("predicate_object"),
-            F.when(bare != "", bare).alias("conditionality"), i.cast("int").alias("match_no"), F.regexp_replace(m["raw"], r"^\s+|\s+$", "").alias("raw_text"),
+            F.when(bare != "", bare).alias("conditionality"), i.cast("int").alias("match_no"), stripped(m["raw"]).alias("raw_text"),
         )
 
     found = F.transform(rows, one)

@@ -23,7 +23,7 @@ def running_size(files: DataFrame, batch: str, position: list[str], size: Column
 def checked(files: DataFrame, filename: Column, source: Column, valid: Column, most: int = schema.MAX_FILE_BYTES) -> DataFrame:
     """Files with an error: unsupported, too large, empty, invalid syntax - the first that holds - or null if admitted."""
     error = (
-        F.when(~C.is_supported(filename), "unsupported").when(F.octet_length(C.or_empty(source)) > most, "too large").when(F.trim(C.or_empty(source)) == "", "empty").when(~F.coalesce(valid, F.lit(False)), "syntax")
+        F.when(~C.is_supported(filename), "unsupported").when(F.octet_length(C.or_empty(source)) > most, "too large").when(C.is_blank(source), "empty").when(~F.coalesce(valid, F.lit(False)), "syntax")
     )
     return files.withColumn("error", error)
 
@@ -53,5 +53,5 @@ def path_tree(files: DataFrame, path: str) -> DataFrame:
     parts = F.split(F.col(path), "/")
     steps = F.sequence(F.lit(1), F.size(parts))
     nodes = F.transform(steps, lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k), "/").alias("node"), F.array_join(F.slice(parts, F.lit(1), k - 1), "/").alias("parent"), F.element_at(parts, k).alias("name"), k.alias("depth"), (k == F.size(parts)).alias("is_file")))
-    rows = files.filter(F.trim(C.or_empty(F.col(path))) != "").select(F.explode(nodes).alias("x")).select("x.*")
+    rows = files.filter(~C.is_blank(F.col(path))).select(F.explode(nodes).alias("x")).select("x.*")
     return rows.groupBy("node", "parent", "name", "depth").agg(F.bool_or("is_file").alias("is_file"), F.count(F.lit(1)).alias("n_files"))

@@ -312,5 +312,5 @@ def with_counters(analyses: DataFrame, functions: DataFrame, claims: DataFrame,
 
 def valid_claims(claims: DataFrame) -> DataFrame:
     """Claims with text in subject, predicate and raw text, a known category, and a line above 0."""
-    said = [F.trim(C.or_empty(F.col(c))) != "" for c in ("subject", "predicate_object", "raw_text")]
+    said = [~C.is_blank(F.col(c)) for c in ("subject", "predicate_object", "raw_text")]
     return claims.filter(said[0] & said[1] & said[2] & (F.col("source_line") > 0) & F.col("category").isin(*schema.CATEGORIES))

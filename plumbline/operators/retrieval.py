@@ -252,7 +252,7 @@ def injected(response: Column, retrieved: Column) -> tuple[Column, Column]:
     """(text, n): the response with the first chunk's tag after every line that has text, is no heading and has no tag; for
     responses without any tag and a set that is not empty, else unchanged with 0."""
     lines = F.split(C.or_empty(response), "\n")
-    needs = lambda x: (F.trim(x) != "") & ~F.trim(x).startswith("#") & ~x.rlike(C.CITATION)
+    needs = lambda x: ~C.is_blank(x) & ~C.stripped(x).startswith("#") & ~x.rlike(C.CITATION)
     wanted = ~C.or_empty(response).rlike(C.CITATION) & (F.size(retrieved) > 0)
     tag = _tag(F.element_at(retrieved, 1))
     text = F.when(wanted, F.array_join(F.transform(lines, lambda x: F.when(needs(x), F.concat(x, F.lit(" "), tag)).otherwise(x)), "\n")).otherwise(C.or_empty(response))
@@ -287,7 +287,7 @@ def grounding(response: Column, retrieved: Column, unicode: bool = True) -> Colu
         return (F.size(meant) == 0) | (F.size(F.array_intersect(meant, held)) >= 0.4 * F.size(meant))
 
     n = F.size(sentences)
-    return F.when((F.trim(C.or_empty(response)) == "") | (F.size(retrieved) == 0), 0.0).when(n == 0, 1.0).otherwise(F.size(F.filter(sentences, grounded)) / F.greatest(n, F.lit(1)))
+    return F.when(C.is_blank(response) | (F.size(retrieved) == 0), 0.0).when(n == 0, 1.0).otherwise(F.size(F.filter(sentences, grounded)) / F.greatest(n, F.lit(1)))
 
 
 def hit_rate(query: Column, retrieved: Column, unicode: bool = True) -> Column:
@@ -308,7 +308,7 @@ def echo(query: Column, response: Column, unicode: bool = True) -> Column:
     """How much of the query's words the response repeats, with a bonus for its length; 0 for a blank response."""
     q, r = F.array_distinct(C.words(query, unicode)), F.array_distinct(C.words(response, unicode))
     overlap = F.size(F.array_intersect(q, r)) / F.greatest(F.size(q), F.lit(1))
-    return F.when(F.trim(C.or_empty(response)) == "", 0.0).otherwise(F.least(F.lit(1.0), 0.7 * overlap + 0.3 * F.least(F.lit(1.0), F.size(r) / 30.0)))
+    return F.when(C.is_blank(response), 0.0).otherwise(F.least(F.lit(1.0), 0.7 * overlap + 0.3 * F.least(F.lit(1.0), F.size(r) / 30.0)))
 
 
 def run_metrics(runs: DataFrame, keep: list[str], unicode: bool = True, places: int = 4) -> DataFrame:

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.columns import or_empty
+from plumbline.functions.columns import or_empty, stripped
 from plumbline.operators.extract import Registry, rows_from
 from plumbline.operators.reports import last_per_key
 
@@ -28,7 +28,7 @@ def outcome(raw: Column) -> Column:
 def expected_actual(traceback: Column) -> tuple[Column, Column]:
     """(expected, actual) of the first failed comparison in a traceback: the right and the left side; null without one."""
     has = F.regexp_like(or_empty(traceback), F.lit(_ASSERT))
-    return F.when(has, F.trim(F.regexp_extract(traceback, _ASSERT, 2))), F.when(has, F.trim(F.regexp_extract(traceback, _ASSERT, 1)))
+    return F.when(has, stripped(F.regexp_extract(traceback, _ASSERT, 2))), F.when(has, stripped(F.regexp_extract(traceback, _ASSERT, 1)))
 
 
 def joined_results(tests: DataFrame, results: DataFrame, order: list[Column]) -> DataFrame:

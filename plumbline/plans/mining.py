@@ -41,8 +41,8 @@ def _sql(categories: tuple[str, ...], source: str = "d", key: str = "id") -> str
         pick = lambda n, g=g, regex=regex: f"regexp_extract_all(docstring, '{regex}', {g[n]})" if g[n] else "NULL::VARCHAR[]"
         parts.append(f"SELECT {key} AS id, {p.number} AS pattern_no, '{p.category}' AS category, '{p.name.replace('_', ' ')}' AS title, {str(p.must).lower()} AS must, unnest(regexp_extract_all(docstring, '{regex}', 0)) AS raw, unnest({pick('subject')}) AS s, unnest({pick('object')}) AS o, unnest({pick('condition')}) AS k, unnest(range(len(regexp_extract_all(docstring, '{regex}', 0)))) AS match_no FROM {source} WHERE docstring <> ''")
     return (
-        "m AS (" + " UNION ALL ".join(parts) + "), q AS (SELECT id, pattern_no::INT AS pattern_no, category, coalesce(nullif(trim(s), ''), 'return') AS subject, CASE WHEN trim(coalesce(o, '')) <> '' THEN title || ': ' || trim(o) WHEN trim(coalesce(s, '')) <> '' THEN title || ': ' || trim(s) ELSE title END AS predicate_object, "
-        "nullif(regexp_replace(trim(coalesce(k, '')), '\\.+$', ''), '') AS conditionality, match_no::INT AS match_no, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS raw_text, must FROM m), "
+        "m AS (" + " UNION ALL ".join(parts) + "), q AS (SELECT id, pattern_no::INT AS pattern_no, category, coalesce(nullif(regexp_replace(s, '^\\s+|\\s+$', '', 'g'), ''), 'return') AS subject, CASE WHEN regexp_replace(coalesce(o, ''), '^\\s+|\\s+$', '', 'g') <> '' THEN title || ': ' || regexp_replace(o, '^\\s+|\\s+$', '', 'g') WHEN regexp_replace(coalesce(s, ''), '^\\s+|\\s+$', '', 'g') <> '' THEN title || ': ' || regexp_replace(s, '^\\s+|\\s+$', '', 'g') ELSE title END AS predicate_object, "
+        "nullif(regexp_replace(regexp_replace(coalesce(k, ''), '^\\s+|\\s+$', '', 'g'), '\\.+$', ''), '') AS conditionality, match_no::INT AS match_no, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS raw_text, must FROM m), "
         "cl AS (SELECT id, pattern_no, category, subject, predicate_object, conditionality, match_no, raw_text FROM q WHERE raw_text <> '' AND (NOT must OR regexp_matches(lower(raw_text), '\\bmust\\b')))"
     )
 

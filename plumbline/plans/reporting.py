@@ -352,6 +352,6 @@ def _(spark, folder):
     return R.with_counters(m.analyses, m.functions, m.claims, m.violations).select("id", "total_functions", "total_claims", "total_violations", "bcv_rate")
 
 
-@query("claim_validity", f"{WITH} SELECT id FROM c WHERE trim(subject) <> '' AND trim(predicate_object) <> '' AND trim(raw_text) <> '' AND source_line > 0 AND category IN ('RSV','PCV','SEV','ECV','COV','CCV')")
+@query("claim_validity", f"{WITH} SELECT id FROM c WHERE regexp_matches(subject, '\\S') AND regexp_matches(predicate_object, '\\S') AND regexp_matches(raw_text, '\\S') AND source_line > 0 AND category IN ('RSV','PCV','SEV','ECV','COV','CCV')")
 def _(spark, folder):
     return R.valid_claims(model(spark, folder).claims).select("id")

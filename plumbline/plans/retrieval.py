@@ -173,7 +173,7 @@ _CITES = f"""ci AS (SELECT run_id, unnest(regexp_extract_all(response, '{_CITE}'
 cx AS (SELECT run_id, path, first, coalesce(nullif(l, '')::INT, first) AS last, chunk_id FROM ci)"""
 _VALID = f"{_CITES}, cv AS (SELECT cx.*, len(list_filter(retrieved, lambda c: coalesce(c.chunk_id = cx.chunk_id, false) OR (contains(c.path, cx.path) AND c.first <= cx.first AND c.last >= cx.last))) > 0 AS valid FROM cx JOIN r USING (run_id))"
 _UNCITED = f"len(list_filter(list_transform(string_split(response, chr(10) || chr(10)), lambda p: regexp_replace(p, '^\\s+|\\s+$', '', 'g')), lambda p: length(p) > 40 AND NOT starts_with(p, '#') AND NOT regexp_matches(p, '{_CITE}')))"
-_NEEDS = f"trim(x) <> '' AND NOT starts_with(trim(x), '#') AND NOT regexp_matches(x, '{_CITE}')"
+_NEEDS = f"regexp_matches(x, '\\S') AND NOT starts_with(regexp_replace(x, '^\\s+', ''), '#') AND NOT regexp_matches(x, '{_CITE}')"
 _STATS = f"""{_VALID}, cn AS (SELECT run_id, count(*) AS n, count(*) FILTER (valid) AS nv FROM cv GROUP BY 1), cs AS (SELECT r.*, coalesce(n, len(list_filter(string_split(response, chr(10)), lambda x: {_NEEDS}))) AS total_citations, coalesce(nv, len(list_filter(string_split(response, chr(10)), lambda x: {_NEEDS}))) AS valid_citations,
 {_UNCITED} AS uncited_paragraphs FROM r LEFT JOIN cn USING (run_id)), ct AS (SELECT *, round(CASE WHEN total_citations > 0 THEN valid_citations / total_citations ELSE 0 END, 4) AS compliance_rate FROM cs)"""
 

@@ -114,7 +114,7 @@ def _(spark, folder):
     return ingest.running_size(a, "batch_id", ["created_at", "id"], F.octet_length("source_code"), most_bytes=60_000).select("id", "batch_id", "file_no", "running_bytes", "within")
 
 
-_CHECK = f"CASE WHEN NOT {_EXT} IN ({', '.join(repr(x) for x in schema.LANGUAGES)}) THEN 'unsupported' WHEN strlen(source_code) > 30000 THEN 'too large' WHEN trim(source_code) = '' THEN 'empty' WHEN NOT status <> 'failed' THEN 'syntax' END AS error"
+_CHECK = f"CASE WHEN NOT {_EXT} IN ({', '.join(repr(x) for x in schema.LANGUAGES)}) THEN 'unsupported' WHEN strlen(source_code) > 30000 THEN 'too large' WHEN NOT regexp_matches(source_code, '\\S') THEN 'empty' WHEN NOT status <> 'failed' THEN 'syntax' END AS error"
 
 
 def _checked(spark, folder):

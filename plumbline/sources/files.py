@@ -19,12 +19,12 @@ def _decoded(binary: DataFrame, most: int) -> DataFrame:
     """(path, source, bytes, language, error): bytes that are no UTF-8 become replacement characters; files above the limit
     are kept with an error and without text."""
     fits = F.col("length") <= most
-    text = F.when(fits, F.decode("content", F.lit("utf-8")))
+    text = F.when(fits, F.make_valid_utf8(F.col("content").cast("string")))
     return binary.select("path", text.alias("source"), F.col("length").alias("bytes"), C.language_of(F.col("path")).alias("language"), F.when(~fits, "too large").alias("error"))
 
 
 def folder(spark: SparkSession, path: str, pattern: str = "*.py", most: int = schema.MAX_FILE_BYTES) -> DataFrame:
-    """All files below a folder whose names match the pattern."""
+    """All files below a folder whose names match the pattern; files of no bytes are passed over by the reader."""
     return _decoded(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path), most)
 
 

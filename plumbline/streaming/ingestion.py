@@ -12,13 +12,13 @@ from plumbline.operators import extract, ingest
 
 
 def watch(spark: SparkSession, folder: str, accepted: str, refused: str, checkpoint: str, trigger: str | None = None) -> StreamingQuery:
-    """Starts the stream. `trigger` is an interval such as '2 seconds'; None takes what is there and ends.
+    """Starts the stream. Files of no bytes are passed over by the reader. `trigger` is an interval such as '2 seconds'; None takes what is there and ends.
 
     Each file is a row (path, source, language, error). A batch is written once even if it is tried again: its number is
     part of the tables' folders.
     """
     files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length bigint, content binary").load(folder)
-    rows = files.filter(F.col("length") <= 4 * schema.MAX_FILE_BYTES).select("path", F.decode("content", F.lit("utf-8")).alias("source"), C.language_of(F.col("path")).alias("language"))
+    rows = files.filter(F.col("length") <= 4 * schema.MAX_FILE_BYTES).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("source"), C.language_of(F.col("path")).alias("language"))
 
     def store(batch: DataFrame, number: int) -> None:
         valid = extract.syntax(batch, "path", "source", "language").select("path", "valid")
