@@ -7,6 +7,8 @@ import itertools
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,7 +27,21 @@ def build_session(app: str = "plumbline", master: str | None = None, **conf: str
     builder = SparkSession.builder.appName(app).config(map=settings)
     if master:
         builder = builder.master(master)
-    return builder.getOrCreate()
+    return ship_code(builder.getOrCreate())
+
+
+def ship_code(spark: SparkSession) -> SparkSession:
+    """Gives the executors' Python workers this package, once per context; the driver hands it out by its file server."""
+    context = spark.sparkContext
+    if not getattr(context, "_plumbline_shipped", False):
+        home = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="plumbline-code-")) / "plumbline.zip"
+        with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+            for source in sorted(home.rglob("*.py")):
+                z.write(source, source.relative_to(home.parent))
+        context.addPyFile(str(archive))
+        context._plumbline_shipped = True
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
