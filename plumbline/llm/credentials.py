@@ -34,9 +34,11 @@ ISSUED = re.compile(
     r"|SG\.[\w-]{16,}\.[\w-]{30,}|[rs]k_live_[A-Za-z0-9]{16,}|AIza[\w-]{30,}|eyJ[\w-]{8,}\.eyJ[\w-]{8,}\.[\w-]{16,}|pypi-[\w-]{40,}|dop_v1_[0-9a-f]{40,}|hf_[A-Za-z]{30,}|ya29\.[\w-]{30,}"
 )
 PLACEHOLDER = re.compile(
-    r"(?i)[*x•.\-_#?]+|<.*>|\[.*\]|\$\{.*\}?|\$\(.*\)?|\$\w+|\{.*\}|%[\w(].*|.*(?:your|insert|change.?me|replace|example|sample|dummy|placeholder|redacted|masked|hidden_|here\b|todo|fixme|fake|secret.?goes|goes.?here|not.?set|to.?be.?set).*"
+    r"(?i)[*x•.\-_#?]+|<.*>|\[.*\]|\$\{.*\}?|\$\(.*\)?|\$\w+|\{.*\}|%[\w(].*|(?:your|insert|change.?me|replace).*"
     r"|(?:none|null|nil|undefined|true|false|password|passwd|pwd|secret|token|apikey|api[_-]key|test|foo|bar|empty|default|optional|required|string|str|admin|user|root)"
 )
+#: Words of placeholders that also occur in real passwords: they count in values of letters and separators only.
+PLACEHOLDER_WORD = re.compile(r"(?i)(?=[a-z _.\-]+\d{0,2}$).*(?:your|insert|replace|example|sample|dummy|placeholder|redacted|masked|hidden|here\b|todo|fixme|fake|goes.?here|not.?set|to.?be.?set).*")
 MARK = "***"
 
 _QUOTED = re.compile(r'"((?:[^"\\\n]|\\.)*)"|\'((?:[^\'\\\n]|\\.)*)\'|`((?:[^`\\\n]|\\.)*)`')
@@ -55,6 +57,7 @@ _TOLD = re.compile(r"(?i)\b(?P<name>password|passwd|pwd|pw|pass|passphrase|secre
 _ARGUMENT = re.compile(r"[,:=]\s*(?!\w*(?:\.\w+)*\.?(?i:read|get|env|getenv|vault|load|fetch|lookup|secret|next\w*|resolve)\s*\()(?:[A-Za-z_][\w.:]*\s*\(\s*)?$")
 _SPLIT_NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _IDENTIFIER = re.compile(r"[A-Za-z_$][\w$]*(?:(?:\.|::|->|-)[A-Za-z_$]\w*)*")
+_PATH = re.compile(r"\.{0,2}(?:/[a-z0-9_.\-]+)+/?")
 _HEX = re.compile(r"(?:0x)?[0-9a-fA-F]{16,}")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 # What a line must contain to be looked at closely; the words in lower case.
@@ -111,12 +114,12 @@ def _mixed(value: str) -> int:
 
 
 def _excluded(value: str) -> bool:
-    return bool(PLACEHOLDER.fullmatch(value) or _UUID.fullmatch(value) or "://" in value or value.startswith(("data:", "-----BEGIN")))
+    return bool(PLACEHOLDER.fullmatch(value) or PLACEHOLDER_WORD.fullmatch(value) or _UUID.fullmatch(value) or "://" in value or value.startswith(("data:", "-----BEGIN")))
 
 
 def secret_in_context(value: str) -> bool:
     """Whether a value under a secret's name (or in a login) is a written-out secret."""
-    if len(value) < 6 or any(c.isspace() for c in value) or _excluded(value) or "${" in value or value.startswith(("/", "./")):
+    if len(value) < 6 or any(c.isspace() for c in value) or _excluded(value) or "${" in value or _PATH.fullmatch(value):
         return False
     if ISSUED.fullmatch(value):
         return True

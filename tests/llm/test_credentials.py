@@ -26,11 +26,13 @@ CASES = [
     ("export CLIENT_SECRET=AQWiJ36M8KRcuQq8XVKZ", "AQWiJ36M8KRcuQq8XVKZ"),
     ("# TODO drop this, pw is Primary_Graph985!", "Primary_Graph985!"),
     ("// staging login for the box: svc_a / edge30743Balance", "edge30743Balance"),
+    ('apikey = "/CPVD1Oo9wJmQoQ0QjXemT1hCrfT"', "/CPVD1Oo9wJmQoQ0QjXemT1hCrfT"),
+    ('sh("curl -u svc:digest43620Sample7 https://a.invalid")', "digest43620Sample7"),
     ('key = "Zk3Rq9TtWv7Lp2XsYb5Nc8Md1Gh4Jf6"', "Zk3Rq9TtWv7Lp2XsYb5Nc8Md1Gh4Jf6"),
 ]
 HARMLESS = [
     'password = ""', 'password = "********"', 'api_key = "<your password>"', 'token = "${DB_PASSWORD}"', 'secret = "%(password)s"', 'pw = "{{ vault.token }}"',
-    'signing_key = "REPLACE_ME"', 'storage_key = "insert-key-here"', 'password = vault.read("order_line/frozen/password")', 'api_secret = env("API_SECRET")', 'token = next_token(window9, 32)',
+    'signing_key = "REPLACE_ME"', 'token = "sample-token"', 'secret = "/etc/keys/main.pem"', 'password = "changeme123"', 'pw = "your-password-1"', 'storage_key = "insert-key-here"', 'password = vault.read("order_line/frozen/password")', 'api_secret = env("API_SECRET")', 'token = next_token(window9, 32)',
     'field("password", "password")', 'label("api_key", "API key")', 'check("password must have at least 11 characters and one digit")', 'token = plan.get("flat_parcel", 3323)',
     'url = "postgres://user:****@db.invalid/x"', 'url = "postgres://user:${DB_PASS}@db.invalid/x"', 'sha256 = "9c7664e1d29422118fc93b1995a49b04"', 'record_id = "9a192b2f-bfc8-437d-acef-5dcb70caa16f"',
     'logo = "data:image/png;base64,iVBORw0KGgofnf4DbjJXN5Jrv/zSjZVm5rMwcaBLqQD0OKZ"', "# fixed in commit 2ef17b06ec1071711bbaa274680376b9f0b9cf48; see the token rules", "const token = mainJob(region6, { weeklyRecord: 3238 });",
