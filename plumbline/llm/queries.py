@@ -136,7 +136,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 _SQL = {
+    # every pair of records that share a sequence of three words, by counting
+    "p1_found": """WITH d AS (SELECT DISTINCT ON (id) id, regexp_extract_all(lower(source || ' ' || coalesce(docstring, '')), '[a-z0-9_]+') AS w FROM function_records),
+    s AS (SELECT DISTINCT id, concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM d)), n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
+    p AS (SELECT x.id AS id_a, y.id AS id_b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.id < y.id GROUP BY 1, 2)
+    SELECT id_a, id_b FROM p JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE c / (a.n + b.n - c) >= 0.7""",
     "p3_found": "SELECT DISTINCT chunk_id FROM code_chunks WHERE length(content) > 2000",
+    # every run of twelve words of a text that is one of a passage
+    "p7_found": """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents), e AS (SELECT item_id, regexp_extract_all(lower(passage), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
+    x AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)), y AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e))
+    SELECT DISTINCT doc_id, item_id FROM x JOIN y USING (g)""",
 }
 
 
