@@ -88,6 +88,6 @@ def merged(syntax: DataFrame, documentation: DataFrame, key: str) -> DataFrame:
 def line_of(text: Column, match: Column, first_line: Column) -> Column:
     """The line on which the first occurrence of `match` in `text` begins, the text beginning on `first_line`; the first
     line if it does not occur."""
-    at = F.locate_in(text, match) if hasattr(F, "locate_in") else F.instr(text, match)
+    at = F.instr(text, match)
     before = F.substring(text, F.lit(1), F.greatest(at - 1, F.lit(0)))
     return (first_line + F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit("")))).cast("bigint")

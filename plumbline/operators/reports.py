@@ -314,3 +314,26 @@ def valid_claims(claims: DataFrame) -> DataFrame:
     """Claims with text in subject, predicate and raw text, a known category, and a line above 0."""
     said = [~C.is_blank(F.col(c)) for c in ("subject", "predicate_object", "raw_text")]
     return claims.filter(said[0] & said[1] & said[2] & (F.col("source_line") > 0) & F.col("category").isin(*schema.CATEGORIES))
+
+
+class NotComplete(ValueError):
+    """The analysis is there but has not ended well yet."""
+
+
+def completed(analyses: DataFrame, analysis_id: str) -> DataFrame:
+    """The one analysis, if it is complete: LookupError for an unknown id, NotComplete for another status. One row is read
+    on the driver to decide."""
+    row = analyses.filter(F.col("id") == analysis_id)
+    found = row.select("status").head()
+    if found is None:
+        raise LookupError(f"no analysis {analysis_id}")
+    if found.status != "complete":
+        raise NotComplete(f"analysis {analysis_id} is {found.status}")
+    return row
+
+
+def category_counts(rows: DataFrame, key: str) -> DataFrame:
+    """(key, counts map of all six categories, present map of those above 0)."""
+    pairs = [F.lit(x) if isinstance(x, str) else x for c in schema.CATEGORIES for x in (c, F.count_if(F.col("category") == c))]
+    counts = rows.groupBy(key).agg(F.create_map(*pairs).alias("counts"))
+    return counts.withColumn("present", F.map_filter("counts", lambda _, n: n > 0))

@@ -197,3 +197,23 @@ def synthesized(answers: DataFrame, keep: list[str], answer: str, framework: str
         return [{"test_code": code, "test_name": name}] if name else []
 
     return rows_from(answers, keep, [answer, subject, category], "test_code string, test_name string", take)
+
+
+def syntax_checks(tests: DataFrame, keep: list[str], code: str, framework: str) -> DataFrame:
+    """keep columns, valid: whether each test's code is taken by the framework named in a column; unknown ones take nothing."""
+
+    def look(text: str | None, name: str | None) -> list[dict]:
+        check = FRAMEWORKS.get(name)
+        return [{"valid": bool(check and text and check(text))}]
+
+    return rows_from(tests, keep, [code, framework], "valid boolean", look)
+
+
+#: What a module of tests begins with, by framework.
+MODULE_HEADS = {"pytest": "import copy\n\nimport pytest\n", "jest": "", "junit": "", "gotest": "package source\n", "cargotest": ""}
+
+
+def test_modules(tests: DataFrame, key: str, order: str, framework: str = "pytest") -> DataFrame:
+    """(key, module): the tests of each key as one text to be written and run elsewhere; a key's tests are one function's."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(order, "test_code"))), lambda t: t["test_code"])
+    return tests.filter("test_code <> ''").groupBy(key).agg(F.concat(F.lit(MODULE_HEADS[framework]), F.lit("\n\n"), F.array_join(parts, "\n\n\n"), F.lit("\n")).alias("module"))

@@ -355,3 +355,15 @@ def _(spark, folder):
 @query("claim_validity", f"{WITH} SELECT id FROM c WHERE regexp_matches(subject, '\\S') AND regexp_matches(predicate_object, '\\S') AND regexp_matches(raw_text, '\\S') AND source_line > 0 AND category IN ('RSV','PCV','SEV','ECV','COV','CCV')")
 def _(spark, folder):
     return R.valid_claims(model(spark, folder).claims).select("id")
+
+
+@query("positive_categories", f"{_ROWS} SELECT analysis_id, category, count(*) AS n FROM r GROUP BY ALL")
+def _(spark, folder):
+    return R.category_counts(_rows(spark, folder), "analysis_id").select("analysis_id", F.explode("present").alias("category", "n"))
+
+
+@query("gated_read", f"{WITH} SELECT {_SUMMARY} FROM a WHERE id = (SELECT min(id) FROM a WHERE status = 'complete')")
+def _(spark, folder):
+    a = model(spark, folder).analyses
+    first = a.filter("status = 'complete'").agg(F.min("id").alias("id")).head().id
+    return R.completed(a, first).select(*_SUMMARY_COLS) if first else a.limit(0).select(*_SUMMARY_COLS)

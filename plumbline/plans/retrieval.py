@@ -271,3 +271,16 @@ def _(spark, folder):
     held = best.join(k, "chunk_id").groupBy("item_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "c"))), lambda x: x["c"]).alias("retrieved"))
     runs = held.join(F.broadcast(_queries(spark, folder)), "item_id").select("item_id", "query", X.fallback_answer(F.col("retrieved")).alias("response"), "retrieved", F.col("expected").alias("ground_truth"))
     return X.run_metrics(runs, ["item_id"])
+
+
+@query(
+    "minmax_normalize",
+    f"""{_Q}, {_QWORDS}, {_SPARSE} SELECT item_id, chunk_id, round((score - min(score) OVER (PARTITION BY item_id)) / CASE WHEN max(score) OVER (PARTITION BY item_id) <> min(score) OVER (PARTITION BY item_id) THEN max(score) OVER (PARTITION BY item_id) - min(score) OVER (PARTITION BY item_id) ELSE 1 END, 6) AS score FROM sp""",
+)
+def _(spark, folder):
+    return X.min_max(_sparse(spark, folder), "item_id", "score").select("item_id", "chunk_id", F.round("score", 6).alias("score"))
+
+
+@query("recent_runs", f"{_RUNS}, {_STATS}, {_PARTS} SELECT run_id, composite FROM mx ORDER BY run_id DESC LIMIT 10")
+def _(spark, folder):
+    return X.run_metrics(_runs(spark, folder), ["run_id"], unicode=False, places=6).select("run_id", "composite").orderBy(F.desc("run_id")).limit(10)

@@ -139,3 +139,12 @@ def _(spark, folder):
     return _rows(spark, folder).groupBy("analysis_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("outcome") == "fail").alias("total_violations"))
 
 
+@query("test_syntax")
+def _(spark, folder):
+    rows = _rows(spark, folder).select("violation_id", "test_code", F.lit("pytest").alias("framework"))
+    return V.syntax_checks(rows, ["violation_id"], "test_code", "framework")
+
+
+@query("test_modules", f"{_JOIN} SELECT function_id, 'import copy' || chr(10) || chr(10) || 'import pytest' || chr(10) || chr(10) || chr(10) || string_agg(test_code, chr(10) || chr(10) || chr(10) ORDER BY id) || chr(10) AS module FROM x WHERE test_code <> '' GROUP BY 1")
+def _(spark, folder):
+    return V.test_modules(_rows(spark, folder), "function_id", "violation_id")
