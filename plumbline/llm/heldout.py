@@ -9,7 +9,7 @@ directions, and the pair is reported if the span that results has `least` words.
 At scale: fingerprints of the corpus meet those of the held-out set in an equi-join whose small side is broadcast only
 after its rows were counted; a corpus row brings its fingerprints and positions, never its text, to that join, and the
 texts of the documents with a hit are read again for the extension. A hot fingerprint multiplies rows only by the
-held-out items that hold it, and hits are reduced to one row per document, item and alignment before the extension.
+held-out items that hold it, and hits are reduced to one row per document and item before the extension.
 """
 
 from __future__ import annotations
@@ -170,7 +170,7 @@ def leaks(corpus: DataFrame, id_col: str, text_col: str, heldout: DataFrame, ite
     prints = wanted.select("fp", F.xxhash64("item", "passage").alias("which"), "at")
     bounded = rows_at_most(prints, BROADCAST_ROWS)
     met = marks.join(F.broadcast(prints) if bounded else prints, "fp").select("key", "which", "pos", "at")
-    # one row per alignment: its first and last fingerprint; what lies between is covered by the extension or by the last
+    # one row per document and item: the places of their common fingerprints, at most as many as the document has
     hits = met.groupBy("key", "which").agg(F.collect_set(F.struct("pos", "at")).alias("hits"))
     hits = written(hits, "hits")
     named = wanted.select("item", "passage", F.xxhash64("item", "passage").alias("which")).distinct()

@@ -31,6 +31,7 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The splitting pattern belongs to the vocabulary; fixed value.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 LEAF = 32_768
+HELD = 500_000  # ids that a worker gathers before it passes them on
 PIECE = 256  # bytes of an unsplit piece above which it is encoded by halves
 
 _W = r"\p{White_Space}"
@@ -210,8 +211,13 @@ def _encode_short(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(vocabulary)
         for batch in batches:
-            ids = [encode_text(enc, t) if t else [] for t in batch.column(1).to_pylist()]
-            yield _rows(batch.column(0), ids)
+            start, held, ids = 0, 0, []
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                ids.append(encode_text(enc, text) if text else [])
+                held += len(ids[-1])
+                if held > HELD or i + 1 == batch.num_rows:  # lists of Python numbers are large: pass them on early
+                    yield _rows(batch.column(0).slice(start, len(ids)), ids)
+                    start, held, ids = i + 1, 0, []
 
     return run
 
