@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import itertools
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -60,6 +61,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = tempfile.mkdtemp(prefix="plumbline-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.sparkContext.setCheckpointDir(f"file://{made}")
     return f"file://{made}"
 
