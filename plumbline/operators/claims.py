@@ -58,7 +58,10 @@ def documentation_claims(functions: DataFrame, key: str, docstring: str = "docst
     kept = functions.filter(or_empty(text) != "")
     arrays = [_matches(text, p, unicode) for p in PATTERNS if categories is None or p.category in categories]
     every = F.concat(*arrays) if len(arrays) > 1 else arrays[0]
-    return kept.select(F.col(key), F.explode(every).alias("m")).select(key, "m.*")
+    # the array is a column of its own and exploded as "outer": otherwise it would be computed again for every field that
+    # is read, and once more by the filter on its size that an inner explode brings
+    rows = kept.select(F.col(key), every.alias("_all")).select(key, F.explode_outer("_all").alias("m"))
+    return rows.filter("m is not null").select(key, "m.*")
 
 
 def syntax_claims(functions: DataFrame, key: str) -> DataFrame:

@@ -117,7 +117,8 @@ def overlap_scores(docs: DataFrame, terms: DataFrame, key: str, content: str, qu
     """
     words = terms.select(F.collect_set("term")).scalar()
     given = docs.select(key, F.lower(F.col(content)).alias("_text"), words.alias("_words"))
-    held = given.select(key, F.explode(F.filter("_words", lambda t: F.contains(F.col("_text"), t))).alias("term")).repartition(key)
+    # exploded as "outer": an inner explode brings a filter that would search every content twice
+    held = given.select(key, F.explode_outer(F.filter("_words", lambda t: F.contains(F.col("_text"), t))).alias("term")).filter("term is not null").repartition(key)
     return held.join(_small(terms), "term").groupBy(query, key, "length").agg(F.sum("n").alias("hits")).select(query, key, F.round(F.col("hits") / F.greatest("length", F.lit(1)), 9).alias("score"))
 
 
