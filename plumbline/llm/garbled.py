@@ -2,26 +2,30 @@
 
 Reading bytes in a wrong encoding changes only characters outside ASCII (for all encodings considered), so a garbled
 text and a clean near-twin of it are equal once stripped of non-ASCII characters. Twins are joined on that skeleton, at
-the level of sentences and of words: of the variants of one skeleton the most frequent is the reference, and every other
-variant is aligned with it, non-ASCII run by non-ASCII run. A transformation (the encoding it was read in, the one it
-was written in) that maps aligned runs onto each other gets their votes. The transformations learned so are applied to
+the level of sentences and of words: of the variants of one skeleton the most frequent and the shortest without losses are
+the references, and every other variant is aligned with them, non-ASCII run by non-ASCII run. A transformation (the
+encoding it was read in, the one it was written in) that maps aligned runs onto each other, in either direction, gets
+their votes. The transformations learned so are applied to
 all records, in turn until nothing changes (text may be garbled twice):
 
 * written in UTF-8: sequences that are valid UTF-8 under the encoding read are decoded, if what comes out are characters
   that texts use. Valid sequences of several bytes hardly occur by chance.
 * written in another one-byte encoding: any text decodes, so a word is taken as garbled only if its decoded form is a
-  word of the corpus, at least RATIO times as frequent as the garbled form.
+  word of the corpus and the better word of the two: by the letter pairs of the corpus's words of natural shape (lower
+  case, or one capital in front; one script), by shape, and where both leave it open by RATIO times as many texts.
 * characters lost on the way (replacement characters, half sequences, control codes from the upper half): the text is a
   case; words are restored from the most frequent clean word with the same skeleton, else the loss stays marked.
 
 A garbled sequence that stands alone between ASCII quotes or backticks is quoted as a subject and is no case.
 
 What is collected to the driver is bounded whatever the corpus: votes by pair of encodings, and counts by character.
-Counts of words and variants combine before their shuffle; a frequent skeleton brings one row for each distinct variant.
+Frequencies are numbers of distinct texts, so copies of one text, garbled or not, weigh as one. Counts of words and
+variants combine before their shuffle; a frequent skeleton brings one row for each distinct variant.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -42,6 +46,7 @@ ONE_BYTE = [(r, w) for w in ("koi8-r", "cp1251", "cp866", "iso8859-5", "mac_cyri
 LETTERS_ABOVE = {"cp1251", "cp866", "koi8-r", "mac_cyrillic", "iso8859-5", "cp1253"}  # encodings whose upper half is mostly letters
 VOTES = 2  # distinct aligned pairs that a transformation needs
 RATIO, WORD_DOCS, WORD_VOTES, WORD_LETTERS = 5, 2, 5, 3
+LEAN = 1.0  # mean difference of the letter pairs' logarithms (base 2) that decides which of two words is garbled
 BROADCAST_ROWS = 200_000
 
 _RUN = re.compile(r"[^\x00-\x7f]+")
@@ -51,6 +56,7 @@ _LOST = re.compile(r"�|[\x80-\x84\x86-\x9f]")
 # Half sequences: lead bytes of UTF-8 with signs of the following bytes, again and again, as Latin-1 shows them when the
 # control codes between them were dropped.
 _HALF = re.compile("[\u00c2-\u00f4][\u00a1-\u00bf][\u00c2-\u00f4]*[\u00c2-\u00f4][\u00a1-\u00bf]")
+_INVISIBLE = re.compile("[\\x80-\\xa0\\xad\\s]")
 _SIGN = re.compile("[\u2010-\u205e\u20a0-\u20bf\u2100-\u27bf\u2900-\u2bff\ufe0f\U0001f300-\U0001faff]")  # signs that texts may use once
 _QUOTES = {"'": "'", '"': '"', "`": "`"}
 
@@ -148,6 +154,53 @@ def infer(variant: str, reference: str) -> list[tuple[str, str, str, str]]:
     return out
 
 
+@lru_cache(maxsize=None)
+def _script(c: str) -> str:
+    return unicodedata.name(c, "?").split(" ")[0]
+
+
+def broken(word: str) -> bool:
+    """Whether a capital follows a small letter, or scripts mix, inside the word."""
+    return any(a.islower() and b.isupper() or _script(a) != _script(b) for a, b in zip(word, word[1:]))
+
+
+def natural(word: str) -> bool:
+    """Whether a word has the shape that most words have: one script, small letters behind the first."""
+    return word.isalpha() and word[1:].islower() and _script(word[0]) in ("LATIN", "CYRILLIC", "GREEK") and not broken(word)
+
+
+def letter_pairs(word: str) -> list[str]:
+    folded = f"^{word.lower()}$"
+    return [a + b for a, b in zip(folded, folded[1:])]
+
+
+def is_garbled(word: str, n: int, decoded: str, n_decoded: int, letters: dict[str, int]) -> bool:
+    """Whether, of two words that a one-byte transformation maps onto each other, `word` is the garbled one.
+
+    letters: in how many distinct words of natural shape each pair of letters stands. Garbling breaks that shape, so these
+    counts tell clean words however often a garbled text is repeated. The numbers of texts decide only what stays open.
+    """
+
+    def score(w: str) -> float:
+        own = natural(w)
+        pairs = letter_pairs(w)
+        return sum(math.log2(1 + max(letters.get(p, 0) - own, 0)) for p in pairs) / len(pairs)
+
+    lean = score(decoded) - score(word)
+    if abs(lean) >= LEAN:
+        return lean > 0
+    if broken(word) != broken(decoded):
+        return broken(word)
+    if natural(word) != natural(decoded) and (lean > 0) == natural(decoded):
+        return natural(decoded)  # letters and shape agree
+    return n_decoded >= RATIO * n
+
+
+def remains(run: str, clean: str) -> bool:
+    """Whether a run is what is left of `clean`, misread from UTF-8, when its control codes and blanks were dropped."""
+    return any(_INVISIBLE.sub("", clean.encode().decode(read, "ignore")) == _INVISIBLE.sub("", run) for read in ("latin-1", "cp1252"))
+
+
 class Mapping:
     """What was learned: encodings that UTF-8 was read in, and how many texts use each character."""
 
@@ -222,12 +275,16 @@ def _quoted(text: str, start: int, end: int) -> bool:
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts to their distinct words with non-ASCII characters."""
+    """(text, copies) to their distinct words with non-ASCII characters: how many of the texts have each, and how many rows."""
     for batch in batches:
         counts: Counter[str] = Counter()
-        for text in batch.column("text").to_pylist():
-            counts.update({w for w in _TOKEN.findall(text) if len(w) <= 64})
-        yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+        rows: Counter[str] = Counter()
+        for text, copies in zip(batch.column("text").to_pylist(), batch.column("copies").to_pylist()):
+            words = {w for w in _TOKEN.findall(text) if len(w) <= 64}
+            counts.update(words)
+            for w in words:
+                rows[w] += copies
+        yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64()), pa.array([rows[w] for w in counts], pa.int64())], names=["word", "n", "copies"])
 
 
 def _row_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,7 +307,11 @@ def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _infer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        votes = {v for a, b in zip(batch.column("variant").to_pylist(), batch.column("reference").to_pylist()) for v in infer(a, b)}
+        votes = set()
+        for v, frequent, shortest in zip(*(batch.column(c).to_pylist() for c in ("variant", "reference", "shortest"))):
+            votes.update(infer(v, frequent))
+            # UTF-8 decodes in one direction only, so the garbled text of the two need not be the rarer one
+            votes.update(x for a, b in ((frequent, v), (v, shortest), (shortest, v)) for x in infer(a, b) if x[1] == "utf-8")
         yield pa.record_batch([pa.array([v[k] for v in votes], pa.string()) for k in range(4)], names=["read", "wrote", "garbled", "clean"])
 
 
@@ -270,6 +331,23 @@ def _decoded_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.record_batch([pa.array(c, k) for c, k in zip(out, kinds)], names=["read", "wrote", "decoded", "garbled", "n"])
 
 
+def _letter_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = Counter(p for w in batch.column("word").to_pylist() if len(w) >= WORD_LETTERS and natural(w) for p in letter_pairs(w))
+        yield pa.record_batch([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["pair", "n"])
+
+
+def _directed(letters: dict[str, int]):
+    """The rows (.., decoded, garbled, n, n_clean) whose garbled word is the garbled one of the two."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("garbled", "n", "decoded", "n_clean")))
+            yield batch.filter(pa.array([is_garbled(*r, letters) for r in rows], pa.bool_()))
+
+    return run
+
+
 def _sound(mapping: Mapping):
     """The words that are neither garbled nor lossy."""
 
@@ -287,8 +365,9 @@ def _aligned(mapping: Mapping):
         for batch in batches:
             out = [
                 (g, c)
-                for a, b in zip(batch.column("variant").to_pylist(), batch.column("reference").to_pylist())
-                for g, c in align(a, b)
+                for a, b, short in zip(*(batch.column(x).to_pylist() for x in ("variant", "reference", "shortest")))
+                # a garbled text may be the frequent one: then the shortest, if the run is what misreading leaves of it
+                for g, c in [x for x in align(a, b) if not mapping.stretches(x[1])] or [x for x in align(a, short) if remains(*x)]
                 if len(g) >= 3 and not mapping.stretches(c) and (found := mapping.stretches(g)) and found[0][2] != c
             ]
             yield pa.record_batch([pa.array([x[k] for x in out], pa.string()) for k in (0, 1)], names=["garbled", "clean"])
@@ -345,24 +424,31 @@ class Garbled:
         self.id_col, self.kind = id_col, df.schema[id_col].dataType.simpleString()
         rows = df.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{text_col}`").alias("text"))
         self.texts = rows.filter(F.col("text").rlike("[^\\x00-\\x7f]"))
-        words = self.texts.select("text").mapInArrow(_words, "word string, n bigint")
-        self.words = written(words.groupBy("word").agg(F.sum("n").alias("n")), "words")
+        # copies of a text are one text for all statistics
+        self.distinct = written(self.texts.groupBy("text").agg(F.count(F.lit(1)).alias("copies")), "distinct")
+        words = self.distinct.mapInArrow(_words, "word string, n bigint, copies bigint")
+        self.words = written(words.groupBy("word").agg(F.sum("n").alias("n"), F.sum("copies").alias("copies")), "words")
         self._pairs: DataFrame | None = None
 
     def pairs(self) -> DataFrame:
-        """(variant, reference): sentences and words with the most frequent variant of their skeleton."""
+        """(variant, reference, shortest): sentences and words with the variants of their skeleton that they are measured by."""
         if self._pairs is not None:
             return self._pairs
-        sentences = self.texts.select("text").mapInArrow(_sentences, "skeleton string, variant string, n bigint")
+        sentences = self.distinct.select("text").mapInArrow(_sentences, "skeleton string, variant string, n bigint")
         stripped = F.regexp_replace("word", "[^\\x00-\\x7f]+", "")
         words = self.words.select(stripped.alias("skeleton"), F.col("word").alias("variant"), "n").filter("length(skeleton) >= 2")
         variants = sentences.union(words).groupBy("skeleton", "variant").agg(F.sum("n").alias("n"))
-        # the reference is the most frequent variant, of equals the shortest: garbling never shortens. One row per
+        # the references are the most frequent variant, of equals the shortest, and - a garbled text may stand in more
+        # texts than the clean one - the shortest that lost nothing: reading UTF-8 wrong never shortens. One row per
         # skeleton comes out of sums that combine before the shuffle, so a frequent skeleton is no hot group.
-        rank = F.struct(F.col("n"), -F.length("variant"), F.col("variant"))
+        size = -F.length("variant")
+        rank = F.struct(F.col("n"), size, F.col("variant"))
+        sound = ~F.col("variant").rlike(f"{_LOST.pattern}|{_HALF.pattern}")
         variants = written(variants, "variants")
-        reference = variants.groupBy("skeleton").agg(F.max(rank).getField("variant").alias("reference"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
-        self._pairs = written(variants.join(reference, "skeleton").filter("variant <> reference").select("variant", "reference"), "pairs")
+        reference = variants.groupBy("skeleton").agg(F.max(rank).getField("variant").alias("frequent"), F.max(F.when(sound, F.struct(size, F.col("n"), F.col("variant")))).getField("variant").alias("shortest"), F.count(F.lit(1)).alias("k"))
+        references = reference.filter("k > 1").select("skeleton", F.col("frequent").alias("reference"), F.coalesce("shortest", "frequent").alias("shortest"))
+        joined = variants.join(references, "skeleton").filter("variant <> reference or variant <> shortest")
+        self._pairs = written(joined.select("variant", "reference", "shortest"), "pairs")
         return self._pairs
 
     def votes(self) -> DataFrame:
@@ -372,21 +458,24 @@ class Garbled:
 
     def mapping(self) -> Mapping:
         reads = [r["read"] for r in self.votes().filter((F.col("votes") >= VOTES) & (F.col("wrote") == "utf-8")).collect()]
-        letters = self.words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c"), "n").filter("c rlike '[^\\\\x00-\\\\x7f]'").groupBy("c").agg(F.sum("n").alias("n"))
+        letters = self.words.select(F.explode(F.array_distinct(F.split("word", ""))).alias("c"), "copies").filter("c rlike '[^\\\\x00-\\\\x7f]'").groupBy("c").agg(F.sum("copies").alias("n"))
         return Mapping(reads, {r["c"]: r["n"] for r in letters.collect()})
 
     def word_map(self, mapping: Mapping) -> DataFrame:
         """(garbled, clean): words of a wrong one-byte encoding, and words that lost characters, with their clean form."""
         decoded = self.words.mapInArrow(_decoded_words, "read string, wrote string, decoded string, garbled string, n bigint")
-        sound = written(self.words.filter(F.col("n") >= WORD_DOCS).mapInArrow(_sound(mapping), "word string, n bigint"), "sound")
+        sound = written(self.words.filter(F.col("copies") >= WORD_DOCS).select("word", "n").mapInArrow(_sound(mapping), "word string, n bigint"), "sound")
         clean = sound.select(F.col("word").alias("decoded"), F.col("n").alias("n_clean"))
-        met = written(decoded.join(clean, "decoded").filter(F.col("n_clean") >= RATIO * F.col("n")), "met")
+        pairs = self.words.mapInArrow(_letter_pairs, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+        letters = {r["pair"]: r["n"] for r in pairs.collect()}  # bounded by the letters of three scripts
+        both = decoded.join(clean, "decoded")
+        met = written(both.mapInArrow(_directed(letters), both.schema), "met")
         good = met.groupBy("read", "wrote").agg(F.count_distinct("decoded").alias("votes")).filter(F.col("votes") >= WORD_VOTES)
         swapped = met.join(F.broadcast(good.drop("votes")), ["read", "wrote"]).groupBy("garbled").agg(F.max(F.struct("n_clean", "decoded")).getField("decoded").alias("clean"))
         has_lost = F.col("word").rlike("[\\x80-\\x84\\x86-\\x9f\\uFFFD]")
         holes = F.regexp_replace("word", "[^\\x00-\\x7f]+", "?")
         lossy = self.words.filter(has_lost).select(F.col("word").alias("garbled"), holes.alias("holes")).filter("length(holes) >= 4")
-        whole = sound.groupBy(holes.alias("holes")).agg(F.max(F.struct("n", "word")).getField("word").alias("clean"))
+        whole = sound.join(swapped.select(F.col("garbled").alias("word")), "word", "left_anti").groupBy(holes.alias("holes")).agg(F.max(F.struct("n", "word")).getField("word").alias("clean"))
         aligned = self.pairs().mapInArrow(_aligned(mapping), "garbled string, clean string").groupBy("garbled", "clean").count()
         aligned = aligned.groupBy("garbled").agg(F.max(F.struct("count", "clean")).getField("clean").alias("clean"))
         return swapped.union(lossy.join(whole, "holes").select("garbled", "clean")).union(aligned).groupBy("garbled").agg(F.min("clean").alias("clean"))

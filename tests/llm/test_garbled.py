@@ -85,3 +85,31 @@ def test_table(spark):
     huge = spark.createDataFrame([(1, "fÃ¼r alle " * 50_000)] + [(k, "für alle") for k in range(2, 6)] + [(7, "fÃ¼r schÃ¶ne"), (8, "schöne"), (9, "schöne")], "doc_id bigint, text string")
     rest = {r.doc_id: r.restored for r in g.Garbled(huge, "doc_id", "text").restored().collect()}
     assert rest == {1: "für alle " * 50_000, 7: "für schöne"}
+
+
+VERBS = ["возвращает", "проверяет", "изменяет", "создаёт", "удаляет", "сравнивает", "сохраняет", "читает"]
+OBJECTS = ["значение", "параметр", "список", "строку", "описание", "исключение", "документ", "результат", "функцию", "таблицу"]
+
+
+def russian(rng):
+    return f"Функция {rng.choice(VERBS)} {rng.choice(OBJECTS)} и {rng.choice(VERBS)} {rng.choice(OBJECTS)}, если {rng.choice(OBJECTS)} не {rng.choice(VERBS)} {rng.choice(OBJECTS)}."
+
+
+@pytest.mark.parametrize("read,wrote", [("cp1251", "koi8-r"), ("koi8-r", "cp1251")])
+@pytest.mark.parametrize("near", [False, True])
+def test_a_garbled_text_in_a_third_of_the_rows(spark, read, wrote, near):
+    rng = random.Random(7)
+    clean = [(i, russian(rng)) for i in range(120)]
+    hot = "Функция проверяет параметр, возвращает значение, сравнивает список, изменяет результат."
+    wrong = [(1000 + i, f"{hot} {i}" if near else hot) for i in range(60)]
+    garbled = [(i, t.encode(wrote).decode(read)) for i, t in wrong]
+    df = spark.createDataFrame(clean + garbled, "doc_id bigint, text string")
+    got = {r.doc_id: r.restored for r in g.Garbled(df, "doc_id", "text").restored().collect()}
+    assert got == dict(wrong)
+
+
+def test_a_hot_garbled_sentence_gives_votes(spark):
+    clean = [f"Für {n} löst größer keinen Fehler aus" for n in ("alpha", "bravo")]
+    rows = [(i, misread(t, "mac_roman") + f". Nr {k}") for k in range(20) for i, t in enumerate(clean)] + [(9, t) for t in clean] + [(10, misread(t, "cp437")) for t in clean]
+    votes = {(r.read, r.wrote) for r in g.Garbled(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text").votes().filter("votes >= 2").collect()}
+    assert {("mac_roman", "utf-8"), ("cp437", "utf-8")} <= votes
