@@ -7,8 +7,9 @@ open endings pile up against the neighbouring lengths. Then endings decide: a va
 bracket or quote, half a character or an unfinished sentence was cut, at a limit or elsewhere; a value whose ending can
 be read either way was cut if its length is one of the limits. Whole values that just fill a limit stay whole.
 
-Lengths are expressions that stay in the JVM; only the reading of an ending runs in Python, in batches. The counts by
-unit and length combine before the shuffle; the limits that come out are few, and their number is checked before they
+Limits are looked for among distinct values: a value that comes again and again, whole or cut, is one value. Lengths are
+expressions that stay in the JVM; only the reading of an ending runs in Python, in batches. The counts by unit and length
+combine before the shuffle; the limits that come out are few, and their number is checked before they
 are broadcast.
 """
 
@@ -141,16 +142,18 @@ class Truncation:
     def __init__(self, df: DataFrame, id_col: str, fields: list[str]):
         pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f"`{f}`").alias("value")) for f in fields]))
         rows = df.select(F.col(f"`{id_col}`").alias("id"), pairs.alias("p")).select("id", "p.field_name", "p.value").filter("length(value) > 0")
-        measured = rows.select("*", *[c.cast("int").alias(k) for k, c in units(F.col("value")).items()])
+        rows = rows.dropDuplicates(["id", "field_name"])
+        measured = rows.select("*", F.unhex(F.md5(F.col("value").cast("binary"))).alias("digest"), *[c.cast("int").alias(k) for k, c in units(F.col("value")).items()])
         self.names = list(units(F.col("value")))
         kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in measured.schema.fields) + ", ending string"
         read = measured.mapInArrow(_endings, kind).drop("value")
         self.values = written(read, "values")
 
     def limits(self) -> DataFrame:
-        """(field_name, unit, size, n, n_open): lengths at which open endings pile up."""
+        """(field_name, unit, size, n, n_open): lengths at which open endings pile up, with the numbers of distinct values."""
         sizes = F.explode(F.array(*[F.struct(F.lit(k).alias("unit"), F.col(k).alias("size")) for k in self.names]))
-        counts = self.values.select("field_name", "ending", sizes.alias("u")).groupBy("field_name", "u.unit", "u.size").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ending") == OPEN).alias("n_open"))
+        distinct = self.values.drop("id").dropDuplicates(["field_name", "digest"])
+        counts = distinct.select("field_name", "ending", sizes.alias("u")).groupBy("field_name", "u.unit", "u.size").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ending") == OPEN).alias("n_open"))
         # against the mean of the lengths around it, itself left out: a spike, not a slope
         around = counts.select("field_name", "unit", F.explode(F.sequence(F.col("size") - 8, F.col("size") + 8)).alias("size"), F.col("size").alias("from"), F.col("n_open").alias("near"))
         level = around.filter("size <> from").groupBy("field_name", "unit", "size").agg((F.sum("near") / 16.0).alias("level"))
@@ -173,7 +176,7 @@ class Truncation:
             at = self.values.select("id", "field_name", sizes.alias("u")).select("id", "field_name", "u.*").join(limits, ["field_name", "unit", "size"]).groupBy("id", "field_name").agg(F.collect_set("unit").alias("units"))
             judged = self.values.join(at, ["id", "field_name"], "left").select("id", "field_name", "ending", F.coalesce("units", F.array().cast("array<string>")).alias("units"))
         cut = (F.col("ending") == OPEN) | ((F.col("ending") == EITHER) & (F.size("units") > 0))
-        return judged.withColumn("cut", cut).dropDuplicates(["id", "field_name"])
+        return judged.withColumn("cut", cut)
 
     def cut(self) -> DataFrame:
         """(id, field_name) of the values that were cut."""

@@ -52,3 +52,27 @@ def test_hidden_limit(spark):
     assert set(got) == want and len(got) == len(set(got))
     empty = t.Truncation(df.limit(0), "id", ["whole"])
     assert empty.cut().collect() == [] and empty.limits().collect() == []
+
+
+def limited(spark, hot, ids):
+    """Sentences cut at 60 characters and phrases of 60 that fill the limit; one value more in most rows."""
+    rng = random.Random(3)
+    rows = [(str(i), " ".join(f"Column {rng.randint(1, 99)} has {rng.randint(1, 99)} nulls." for _ in range(rng.randint(1, 6)))[:60]) for i in range(300)]
+    rows += [("either", "Longphrase" + "x" * 50)] + [(ids(k), hot) for k in range(6000)]
+    return t.Truncation(spark.createDataFrame(rows, "id string, v string"), "id", ["v"])
+
+
+def test_a_whole_value_in_most_rows_hides_no_limit(spark):
+    hot = "Keeps the order of rows and columns as they were delivered.."
+    assert len(hot) == 60 and t.ending(hot) == t.COMPLETE
+    found = limited(spark, hot, lambda k: f"h{k}")
+    assert ("characters", 60) in {(r.unit, r.size) for r in found.limits().collect()}
+    assert "either" in {r.id for r in found.cut().collect()}
+
+
+@pytest.mark.parametrize("ids", [lambda k: f"h{k}", lambda k: "h"])
+def test_a_cut_value_in_most_rows_makes_no_limit(spark, ids):
+    found = limited(spark, "Keeps the order of rows and of colum", ids)
+    limits = {(r.unit, r.size) for r in found.limits().collect()}
+    assert ("characters", 60) in limits and not any(size == 36 for _, size in limits)
+    assert ("h" if ids(1) == "h" else "h7") in {r.id for r in found.cut().collect()}
