@@ -64,7 +64,7 @@ def p4_limits(spark: SparkSession, folder: str) -> DataFrame:
 
 def p4_providers(spark: SparkSession, folder: str) -> DataFrame:
     """Values and cut values by the provider of the analysis behind the claim; null where no analysis is known."""
-    verdicts = _truncation(spark, folder).verdicts().groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count_if("cut").alias("n_cut"))
+    verdicts = _truncation(spark, folder).verdicts().groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.count("cause").alias("n_cut"))
     claims = table(spark, folder, "violations").select("id", "claim_id").dropDuplicates(["id"]).join(verdicts, "id")
     functions = table(spark, folder, "claims").select(F.col("id").alias("claim_id"), "function_id").dropDuplicates(["claim_id"])
     analyses = table(spark, folder, "function_records").select(F.col("id").alias("function_id"), "analysis_id").dropDuplicates(["function_id"])
@@ -135,7 +135,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
 
 
+# Endings read by expressions: quoted strings are taken out, then brackets are counted. No phrase or number of the tables
+# fills a limit, so endings alone say which values were cut.
+_CUT = r"""WITH pairs AS (SELECT id, claim_id, 'expected' AS field_name, expected AS v FROM violations UNION SELECT id, claim_id, 'actual', actual FROM violations),
+    e AS (SELECT *, regexp_replace(v, '\s+$', '') AS b FROM pairs WHERE length(v) > 0),
+    q AS (SELECT *, regexp_replace(b, '"(\\.|[^"\\])*"|''(\\.|[^''\\])*''', '', 'g') AS bare, len(regexp_extract_all(b, '\S+')) AS words, regexp_matches(b, '^([(\[{"'']|[A-Za-z_][\w.]*[(\[{])') AS literal FROM e),
+    r AS (SELECT *, len(regexp_extract_all(bare, '[(\[{]')) AS opened, len(regexp_extract_all(bare, '[)\]}]')) AS closed, contains(bare, '"') OR contains(bare, '''') AS quoted,
+    regexp_matches(b, '(?i)(\.\.\.|…|[\[(<{]\s*(truncated|cut|snip(ped)?|clipped|shortened|output omitted|\d+ (more|chars?|characters|bytes)[^\])>}]*|\.{3}|…)\s*[\])>}])$') AS marked FROM q),
+    cut AS (SELECT id, claim_id, field_name, CASE WHEN b = '' THEN false WHEN right(b, 1) = chr(65533) THEN true WHEN marked THEN NOT (regexp_matches(b, '^[(\[{]') AND opened = closed AND NOT quoted)
+      WHEN b IN ('True', 'False', 'None', 'null', 'true', 'false', 'NaN', 'nan', 'inf') OR regexp_full_match(b, '[-+]?\d[\d_,]*(\.\d+)?([eE][-+]?\d+)?j?') THEN false WHEN left(b, 1) = '<' THEN right(b, 1) <> '>'
+      WHEN literal AND (quoted OR opened > closed) THEN true WHEN literal AND regexp_matches(b, '[)\]}"'']$') THEN false WHEN (length(b) - length(replace(b, '`', ''))) % 2 = 1 THEN true
+      WHEN regexp_matches(b, '[.!?。！？｡][)\]}"”’''»」』`*]*$') THEN false ELSE v <> b AND words > 1 OR regexp_matches(b, '[.!?] +\S|[。！？].') OR words > (CASE WHEN regexp_matches(b, '^\p{Lu}') THEN 3 ELSE 12 END) END AS is_cut FROM r)
+    """
+
 _SQL = {
+    "p4_found": _CUT + "SELECT id, field_name FROM cut WHERE is_cut",
+    "p4_providers": _CUT
+    + """, o AS (SELECT DISTINCT id, claim_id, field_name, is_cut FROM cut), c AS (SELECT DISTINCT id AS claim_id, function_id FROM claims), f AS (SELECT DISTINCT id AS function_id, analysis_id FROM function_records),
+    a AS (SELECT DISTINCT id AS analysis_id, llm_provider FROM analyses), s AS (SELECT llm_provider, count(*) AS n_values, count_if(is_cut)::BIGINT AS n_cut FROM o LEFT JOIN c USING (claim_id) LEFT JOIN f USING (function_id) LEFT JOIN a USING (analysis_id) GROUP BY 1)
+    SELECT *, round(n_cut / n_values, 6) AS share FROM s""",
     # every pair of records that share a sequence of three words, by counting
     "p1_found": """WITH d AS (SELECT DISTINCT ON (id) id, regexp_extract_all(lower(source || ' ' || coalesce(docstring, '')), '[a-z0-9_]+') AS w FROM function_records),
     s AS (SELECT DISTINCT id, concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM d)), n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),

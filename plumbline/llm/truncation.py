@@ -2,31 +2,44 @@
 
 A storage limit shows as a length at which many values end and end openly - but in the unit that the store counts. So
 each value's length is computed in several units (characters, UTF-8 bytes, UTF-16 units, entity-escaped, JSON-escaped
-with and without ASCII only, with CR LF line ends), values are grouped by unit and length, and lengths are kept at which
-open endings pile up against the neighbouring lengths. Then endings decide: a value with a mark of the cut, an open
-bracket or quote, half a character or an unfinished sentence was cut, at a limit or elsewhere; a value whose ending can
-be read either way was cut if its length is one of the limits. Whole values that just fill a limit stay whole.
+with and without ASCII only, with CR LF line ends, and what stands before a mark of the cut), values are grouped by unit
+and length, and lengths are kept at which open endings pile up against the neighbouring lengths. A length in one unit
+makes echoes in the others, so spikes compete: each open value is given to the strongest spike that it fills, a spike
+that keeps most of its values is a limit, the values that it explains leave, and what remains is searched again.
+
+Then endings decide, by what the limits say. A value that just fills a limit was cut unless its ending is complete: a
+phrase or number, which may well be whole elsewhere, is not whole there. A value that fills no limit was cut on the way
+only if its ending is open in itself: a mark of the cut, an open bracket or quote, half a character, an unfinished
+sentence. Whole values that just fill a limit stay whole.
 
 Limits are looked for among distinct values: a value that comes again and again, whole or cut, is one value. Lengths are
 expressions that stay in the JVM; only the reading of an ending runs in Python, in batches. The counts by unit and length
-combine before the shuffle; the limits that come out are few, and their number is checked before they
-are broadcast.
+combine before the shuffle. A limit holds at least LEAST_SHARE of the open values of its field, so no unit has more than
+1 / LEAST_SHARE of them, whatever the size of the table: that is what comes to the driver and is broadcast.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import rows_at_most, written
+from plumbline.session import written
 
 COMPLETE, OPEN, EITHER = "complete", "open", "either"
-LEAST_AT_LIMIT, LEAST_SHARE, LEAST_PEAK = 5, 0.1, 4.0
-BROADCAST_ROWS = 10_000
+#: A limit: at least so many distinct open values, so large a part of the field's open values, and so many times the mean
+#: of the NEAR lengths on either side (one added, so that emptiness around it proves nothing).
+LEAST_AT_LIMIT, LEAST_SHARE, LEAST_PEAK, NEAR = 5, 0.01, 4.0, 8
+#: How far below a limit an open value still shows it: a blank or up to three bytes of a character fell off behind the cut.
+SLACK = 3
+#: Two limits in different units are two readings of one if they share so large a part of their values.
+SAME = 0.9
+MARKED = ("marked_characters", "marked_utf8_bytes")
 
 _MARK = re.compile(r"(?:\.\.\.|…|[\[(<{]\s*(?:truncated|cut|snip(?:ped)?|clipped|shortened|output omitted|\d+ (?:more|chars?|characters|bytes)[^\])>}]*|\.{3}|…)\s*[\])>}])\s*$", re.I)
 _STOP = re.compile(r"[.!?。！？｡](?:[)\]}\"”’'»」』`*]*)$")
@@ -105,10 +118,22 @@ def ending(value: str) -> str:
     return EITHER
 
 
+def kept(value: str) -> str | None:
+    """What stands before the mark of a cut; None if the value has no mark."""
+    m = _MARK.search(value)
+    if not m:
+        return None
+    before = value[: m.start()]
+    return before[:-1] if before.endswith(" ") and m.group()[0] in "[(<{" else before  # the blank belongs to the mark
+
+
 def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        read = [ending(v) for v in b.column("value").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(read, pa.string())], names=[*b.schema.names, "ending"])
+        values = b.column("value").to_pylist()
+        read = [ending(v) for v in values]
+        before = [kept(v) if e == OPEN else None for v, e in zip(values, read)]
+        sizes = [None if k is None else len(k) for k in before], [None if k is None else len(k.encode("utf-8", "surrogatepass")) for k in before]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(read, pa.string()), *[pa.array(x, pa.int32()) for x in sizes]], names=[*b.schema.names, "ending", *MARKED])
 
 
 def _count(value: Column, chars: str) -> Column:
@@ -132,6 +157,14 @@ def units(value: Column) -> dict[str, Column]:
     }
 
 
+class Limit(NamedTuple):
+    field_name: str
+    unit: str
+    size: int
+    n_open: int
+    strength: int  # n_open with the values that fall short of it by SLACK at most: what competing spikes are ranked by
+
+
 class Truncation:
     """Cut values of the fields of a table.
 
@@ -144,40 +177,82 @@ class Truncation:
         rows = df.select(F.col(f"`{id_col}`").alias("id"), pairs.alias("p")).select("id", "p.field_name", "p.value").filter("length(value) > 0")
         rows = rows.dropDuplicates(["id", "field_name"])
         measured = rows.select("*", F.unhex(F.md5(F.col("value").cast("binary"))).alias("digest"), *[c.cast("int").alias(k) for k, c in units(F.col("value")).items()])
-        self.names = list(units(F.col("value")))
-        kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in measured.schema.fields) + ", ending string"
+        self.names = [*units(F.col("value")), *MARKED]
+        kind = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in measured.schema.fields) + ", ending string, " + ", ".join(f"{k} int" for k in MARKED)
         read = measured.mapInArrow(_endings, kind).drop("value")
         self.values = written(read, "values")
 
-    def limits(self) -> DataFrame:
-        """(field_name, unit, size, n, n_open): lengths at which open endings pile up, with the numbers of distinct values."""
+    def _fills(self, limits: list[Limit], slack: int = 0) -> Column:
+        """The limits that a value fills, or falls short of by at most `slack`, as structs (strength, -rank of the unit, unit,
+        size), one for each unit at most."""
+        kind = "array<struct<strength:bigint,rank:int,unit:string,size:int>>"
+        none = F.array().cast(kind)
+        out = none
+        for field in sorted({x.field_name for x in limits}):
+            own = [x for x in limits if x.field_name == field]
+            each = []
+            for rank, unit in enumerate(self.names):
+                known = {x.size - short: x.strength for short in range(slack, -1, -1) for x in own if x.unit == unit}
+                if known:
+                    n = F.element_at(F.create_map(*[F.lit(v) for pair in known.items() for v in pair]), F.col(unit))
+                    each.append(F.when(n.isNotNull(), F.struct(n.cast("bigint").alias("strength"), F.lit(-rank).alias("rank"), F.lit(unit).alias("unit"), F.col(unit).alias("size"))))
+            out = F.when(F.col("field_name") == field, F.array_compact(F.array(*each)).cast(kind)).otherwise(out)
+        return out
+
+    def _spikes(self, left: DataFrame, open_: dict[str, int]) -> list[Limit]:
+        """Lengths of the open values `left` that stand out from the lengths around them."""
         sizes = F.explode(F.array(*[F.struct(F.lit(k).alias("unit"), F.col(k).alias("size")) for k in self.names]))
-        distinct = self.values.drop("id").dropDuplicates(["field_name", "digest"])
-        counts = distinct.select("field_name", "ending", sizes.alias("u")).groupBy("field_name", "u.unit", "u.size").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("ending") == OPEN).alias("n_open"))
+        counts = left.select("field_name", sizes.alias("u")).filter("u.size is not null").groupBy("field_name", "u.unit", "u.size").agg(F.count(F.lit(1)).alias("n_open"))
+        least = functools.reduce(lambda c, f: F.when(F.col("field_name") == f, F.lit(max(LEAST_AT_LIMIT, LEAST_SHARE * open_[f]))).otherwise(c), open_, F.lit(float(LEAST_AT_LIMIT)))
+        high = counts.filter(F.col("n_open") >= least)
         # against the mean of the lengths around it, itself left out: a spike, not a slope
-        around = counts.select("field_name", "unit", F.explode(F.sequence(F.col("size") - 8, F.col("size") + 8)).alias("size"), F.col("size").alias("from"), F.col("n_open").alias("near"))
-        level = around.filter("size <> from").groupBy("field_name", "unit", "size").agg((F.sum("near") / 16.0).alias("level"))
-        spikes = counts.filter((F.col("n_open") >= LEAST_AT_LIMIT) & (F.col("n_open") >= LEAST_SHARE * F.col("n"))).join(level, ["field_name", "unit", "size"], "left")
-        return spikes.filter(F.col("n_open") >= LEAST_PEAK * F.coalesce("level", F.lit(0.0))).select("field_name", "unit", "size", "n", "n_open")
+        around = high.select("field_name", "unit", F.col("size").alias("at"), F.explode(F.sequence(F.col("size") - NEAR, F.col("size") + NEAR)).alias("size")).filter("size <> at")
+        level = around.join(counts, ["field_name", "unit", "size"]).groupBy("field_name", "unit", F.col("at").alias("size"))
+        short = F.col("size").between(F.col("at") - SLACK, F.col("at") - 1)
+        level = level.agg((F.sum("n_open") / (2.0 * NEAR)).alias("level"), F.sum(F.when(short, F.col("n_open")).otherwise(0)).alias("short"))
+        peaks = high.join(level, ["field_name", "unit", "size"], "left").filter(F.col("n_open") >= LEAST_PEAK * (1 + F.coalesce("level", F.lit(0.0))))
+        strength = F.col("n_open") + F.coalesce("short", F.lit(0))
+        return [Limit(*r) for r in peaks.select("field_name", "unit", "size", "n_open", strength).collect()]
+
+    @functools.cached_property
+    def found(self) -> list[Limit]:
+        """The limits, each with the distinct open values that it explains; bounded by LEAST_SHARE."""
+        open_values = written(self.values.filter(F.col("ending") == OPEN).dropDuplicates(["field_name", "digest"]).select("field_name", *self.names), "open")
+        open_ = {r.field_name: r["count"] for r in open_values.groupBy("field_name").count().collect()}
+        limits: list[Limit] = []
+        left = open_values
+        while spikes := self._spikes(left, open_):
+            fills = left.select("field_name", self._fills(spikes).alias("f")).filter("size(f) > 0").select("field_name", F.array_max("f").alias("b"), F.explode("f").alias("f"))
+            both = fills.groupBy("field_name", "b.unit", "b.size", F.col("f.unit").alias("other"), F.col("f.size").alias("length")).count().collect()
+            shared = {((r.field_name, r.unit, r.size), (r.field_name, r.other, r.length)): r["count"] for r in both}
+            # the strongest of each field keeps all its values, so every round finds one
+            kept_own = [x._replace(n_open=own) for x in spikes if 2 * (own := shared.get((x[:3], x[:3]), 0)) > x.n_open]
+            limits += kept_own
+            for x in kept_own:  # another length in another unit that nearly the same values have: neither reading can be ruled out
+                for y in spikes:
+                    n = shared.get((x[:3], y[:3]), 0)
+                    if n >= SAME * x.n_open and not any(z.field_name == y.field_name and z.size == y.size for z in limits):
+                        limits.append(y._replace(n_open=n))
+            left = open_values.filter(F.size(self._fills(limits, SLACK)) == 0)
+        return limits
+
+    def limits(self) -> DataFrame:
+        """(field_name, unit, size, n, n_open): lengths at which open endings pile up; n distinct values of that length,
+        n_open open ones that no stronger limit explains."""
+        spark = self.values.sparkSession
+        known = spark.createDataFrame([(x.field_name, x.unit, x.size, x.n_open) for x in self.found], "field_name string, unit string, size int, n_open bigint")
+        distinct = self.values.dropDuplicates(["field_name", "digest"])
+        at = distinct.select("field_name", F.explode(self._fills(self.found)).alias("f")).groupBy("field_name", "f.unit", "f.size").agg(F.count(F.lit(1)).alias("n"))
+        return at.join(F.broadcast(known), ["field_name", "unit", "size"]).select("field_name", "unit", "size", "n", "n_open")
 
     def verdicts(self) -> DataFrame:
-        """(id, field_name, ending, units, cut): each value with the units in which it just fills a limit, and whether it
-        was cut."""
-        limits = written(self.limits(), "limits").select("field_name", "unit", "size")
-        small = rows_at_most(limits, BROADCAST_ROWS)
-        # the limits as one row per field: few by construction; beyond the bound they are joined instead
-        if small:
-            per_field = F.broadcast(limits.groupBy("field_name").agg(F.collect_set(F.struct("unit", "size")).alias("known")))
-            joined = self.values.join(per_field, "field_name", "left")
-            filled = F.array_compact(F.array(*[F.when(F.array_contains(F.col("known"), F.struct(F.lit(k).alias("unit"), F.col(k).alias("size"))), F.lit(k)) for k in self.names]))
-            judged = joined.select("id", "field_name", "ending", F.coalesce(filled, F.array().cast("array<string>")).alias("units"))
-        else:
-            sizes = F.explode(F.array(*[F.struct(F.lit(k).alias("unit"), F.col(k).alias("size")) for k in self.names]))
-            at = self.values.select("id", "field_name", sizes.alias("u")).select("id", "field_name", "u.*").join(limits, ["field_name", "unit", "size"]).groupBy("id", "field_name").agg(F.collect_set("unit").alias("units"))
-            judged = self.values.join(at, ["id", "field_name"], "left").select("id", "field_name", "ending", F.coalesce("units", F.array().cast("array<string>")).alias("units"))
-        cut = (F.col("ending") == OPEN) | ((F.col("ending") == EITHER) & (F.size("units") > 0))
-        return judged.withColumn("cut", cut)
+        """(id, field_name, ending, units, cause): each value with the units in which it just fills a limit, and why it
+        was cut: 'limit', 'elsewhere', or null if it is whole."""
+        filled, short = [F.transform(self._fills(self.found, slack), lambda x: x["unit"]) for slack in (0, SLACK)]
+        judged = self.values.select("id", "field_name", "ending", filled.alias("units"), (F.size(short) > 0).alias("near"))
+        at = (F.col("ending") == EITHER) & (F.size("units") > 0) | (F.col("ending") == OPEN) & F.col("near")
+        return judged.withColumn("cause", F.when(at, "limit").when(F.col("ending") == OPEN, "elsewhere")).drop("near")
 
     def cut(self) -> DataFrame:
         """(id, field_name) of the values that were cut."""
-        return self.verdicts().filter("cut").select("id", "field_name")
+        return self.verdicts().filter("cause is not null").select("id", "field_name")

@@ -76,3 +76,23 @@ def test_a_cut_value_in_most_rows_makes_no_limit(spark, ids):
     limits = {(r.unit, r.size) for r in found.limits().collect()}
     assert ("characters", 60) in limits and not any(size == 36 for _, size in limits)
     assert ("h" if ids(1) == "h" else "h7") in {r.id for r in found.cut().collect()}
+
+
+def test_only_the_limit_decides_phrases_and_numbers(spark):
+    rng = random.Random(4)
+    rows = [(str(i), " ".join(f"Column {rng.randint(1, 99)} has {rng.randint(1, 99)} nulls." for _ in range(rng.randint(1, 6)))[:60]) for i in range(300)]
+    phrase, whole, number = "Longphrase" + "x" * 50, "Keeps the order of rows and columns as they were delivered..", "7" * 60
+    rows += [("at", phrase), ("number", number), ("below", phrase[:58]), ("whole", whole), ("marked", "Keeps the order of rows and columns as they came in [truncated]")]
+    found = t.Truncation(spark.createDataFrame(rows, "id string, v string"), "id", ["v"])
+    assert [(r.unit, r.size) for r in found.limits().collect()] == [("characters", 60)]  # no echo in another unit
+    cause = {r.id: r.cause for r in found.verdicts().collect()}
+    assert [cause[k] for k in ("at", "number", "below", "whole", "marked")] == ["limit", "limit", None, None, "elsewhere"]
+    assert {cause[str(i)] for i in range(300) if t.ending(rows[i][1]) == t.OPEN} == {"limit"}
+
+
+def test_limits_in_two_units_and_before_a_mark_come_apart(spark):
+    rng = random.Random(5)
+    long = [" ".join(f"{rng.choice(['Größe', 'Column'])} {rng.randint(1, 9999)} hat statt {rng.randint(1, 9999)}." for _ in range(12)) for _ in range(900)]
+    cut = [v[:100] for v in long[:300]] + [v.encode()[:100].decode(errors="ignore") for v in long[300:600]] + [v[:80] + rng.choice(["...", " [truncated]", "…"]) for v in long[600:]]
+    found = t.Truncation(spark.createDataFrame(list(enumerate(cut)), "id int, v string"), "id", ["v"])
+    assert {(r.unit, r.size) for r in found.limits().collect()} == {("characters", 100), ("utf8_bytes", 100), ("marked_characters", 80)}
