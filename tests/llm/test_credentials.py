@@ -1,5 +1,8 @@
 """Credentials: what is one, what is none, and that masking leaves all else as it was."""
 
+import random
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -95,3 +98,39 @@ def test_tables(spark):
     masked = {r.id: r for r in c.redacted(df, "id", "source").collect()}
     assert masked["a"].redacted == "x\npw = '***'\n" and masked["a"].n == 1 and set(masked) == {"a", "d", None}
     assert c.credential_lines(df.limit(0), "id", "source").collect() == []
+
+
+def random_text(n, seed=7):
+    rng = random.Random(seed)
+    return "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789", k=n))
+
+
+@pytest.mark.parametrize("n", [30, 190, 220, 3000])
+def test_random_strings_of_any_length_with_and_without_quotes(n):
+    value = random_text(n)
+    for text in (f'call("{value}")', f"base: {value}", f"# moved to {value}", f"BASE={value} run"):
+        assert [text[s.start : s.end] for s in c.find(text)] == [value], text[:40]
+    assert not c.find(f'icon = "iVBORw0KGgo{value}"') or n < 100
+
+
+def test_values_below_their_name_and_strings_added_over_lines():
+    for text, want in (('password =\n    "Kite8-fall3Q"\n', [(2, "named")]), ('token = "abT7" + \\\n'.replace("\\", "") + '  "kQ92xW"\n', [(1, "named")]), ('f(password,\n  "Kite8-fall3Q")', [])):
+        spans = c.find(text)
+        assert [(text.count("\n", 0, s.start) + 1, s.rule) for s in spans] == want
+        assert c.redact(text).count("\n") == text.count("\n")
+
+
+@pytest.mark.parametrize("address,want", [("http://user:port@x", []), ("http://user:Kite8-fall@x", ["Kite8-fall"]), ("amqp://u:${PASS}@h", []), ("smtp://a:password@h", [])])
+def test_passwords_of_addresses_pass_the_entropy_test(address, want):
+    assert [address[s.start : s.end] for s in c.find(address)] == want
+
+
+@pytest.mark.parametrize("piece", ["'password%d',", '"k%d":"w9%dZ",', "a%d=", "://u:b%d", '"a%d"+', "-pabc%dX ", "x%d", "token: a%d "])
+def test_time_grows_with_the_length_of_a_line(piece):
+    took = []
+    for n in (20_000, 80_000):
+        text = "mysql " + "".join(piece.replace("%d", str(i)) for i in range(n))
+        began = time.perf_counter()
+        c.find(text)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 0.3 or took[1] < 10 * took[0]  # four times the text; a quadratic search takes sixteen times as long
