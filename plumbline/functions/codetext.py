@@ -3,7 +3,8 @@
 Regular expressions find signatures; a body ends where the indentation falls back (Python) or where a stack of brackets,
 or of block words and their `end`, empties; a comment belongs to the function that follows it at a line distance of
 zero, not counting markers such as annotations and attributes between them. Which comment is documentation depends on
-the language. Nothing here needs a text that parses.
+the language. Nothing here needs a text that parses. Strings and brackets of a text are looked at once for all of its
+functions, so the time grows with the text and not with the number of functions times the text.
 """
 
 from __future__ import annotations
@@ -28,6 +29,12 @@ SIGNATURES["typescript"] = SIGNATURES["javascript"]
 _MARKER = {"python": re.compile(r"\s*@"), "java": re.compile(r"\s*@(?!interface)"), "javascript": re.compile(r"\s*@\w"), "typescript": re.compile(r"\s*@\w"), "rust": re.compile(r"\s*#!?\["), "go": re.compile(r"\s*//(?:go:|nolint|export )"), "ruby": re.compile(r"(?!)"), "lua": re.compile(r"(?!)")}
 _LINE_DOC = {"rust": re.compile(r"\s*///(?!/) ?"), "go": re.compile(r"\s*// ?"), "ruby": re.compile(r"\s*#(?!!) ?"), "lua": re.compile(r"\s*---? ?")}
 _BLOCK_DOC = {"javascript": "/**", "typescript": "/**", "java": "/**", "rust": "/**", "go": "/*"}
+_STRING_TOKEN = re.compile(r"\"\"\"|'''|#|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'")
+_QUIET = {  # what brackets do not count in
+    "python": re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|#.*"), "ruby": re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|#.*"), "lua": re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|--.*"),
+    "rust": re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)'|//.*|/\*.*?\*/"),
+}
+_QUIET_BRACES = re.compile(r"\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'|`(?:[^`\\]|\\.)*`|//.*|/\*.*?\*/")
 _OPENING_STRING = re.compile(r"(?:[uUrR]?)(\"\"\"|'''|\"|')")
 
 
@@ -57,13 +64,13 @@ def functions(text: str, language: str) -> list[Function]:
         return []
     lines = text.split("\n")
     quiet = _inside_strings(lines) if language == "python" else set()
+    starts = [(i, m) for i, line in enumerate(lines) if i not in quiet and (m := pattern.match(line))]
+    heads = _signature_ends(lines, language) if starts else []
     out = []
-    for i, line in enumerate(lines):
-        if i in quiet or not (m := pattern.match(line)):
-            continue
+    for i, m in starts:
         name = next(g for g in m.groups() if g)
-        head = _signature_end(lines, i)
-        end = _body_end(lines, i, head, language)
+        head = heads[i]
+        end = _body_end(lines, i, head, language, quiet)
         doc, span = _documentation(lines, i, head, end, language)
         signature = " ".join(x.strip() for x in lines[i : head + 1]).rstrip("{: ").strip()
         out.append(Function(name, i, end, doc, span, signature))
@@ -84,7 +91,7 @@ def _inside_strings(lines: list[str]) -> set[int]:
                     break
                 mark, at = None, at + 3
             else:
-                m = re.compile(r"\"\"\"|'''|#|\"(?:[^\"\\]|\\.)*\"|'(?:[^'\\]|\\.)*'").search(line, at)
+                m = _STRING_TOKEN.search(line, at)
                 if not m or m.group() == "#":
                     break
                 at = m.end()
@@ -93,30 +100,36 @@ def _inside_strings(lines: list[str]) -> set[int]:
     return out
 
 
-def _signature_end(lines: list[str], i: int) -> int:
-    """The line on which the parameter list that starts on line i is closed."""
-    depth, seen = 0, False
-    for j in range(i, min(len(lines), i + 60)):
-        for c in lines[j]:
-            if c in "([":
-                depth, seen = depth + 1, True
-            elif c in ")]":
-                depth -= 1
-        if not seen or depth <= 0:
-            return j
-    return i
+def _signature_ends(lines: list[str], language: str) -> list[int]:
+    """For each line, the line on which the brackets that are open behind it are closed again: itself if none is, or if
+    they never are. Brackets within strings and comments of one line do not count."""
+    quiet = _QUIET.get(language, _QUIET_BRACES)
+    depth, depths, opens = 0, [0], []
+    for line in lines:
+        if "(" in line or ")" in line or "[" in line or "]" in line:
+            code = quiet.sub("", line)
+            depth += code.count("(") + code.count("[") - code.count(")") - code.count("]")
+        depths.append(depth)
+        opens.append(depths[-1] > depths[-2])
+    # the next line whose depth is not above that before the line, by a stack of lines not yet answered
+    ends, waiting = list(range(len(lines))), []
+    for j in range(len(lines)):
+        if opens[j]:
+            waiting.append(j)
+        while waiting and waiting[-1] != j and depths[j + 1] <= depths[waiting[-1]]:
+            ends[waiting.pop()] = j
+    return ends
 
 
 def _indent(line: str) -> int:
     return len(line) - len(line.lstrip())
 
 
-def _body_end(lines: list[str], i: int, head: int, language: str) -> int:
+def _body_end(lines: list[str], i: int, head: int, language: str, quiet: set[int]) -> int:
     if language == "python":
         end, base = head + 1, _indent(lines[i])
-        quiet = _inside_strings(lines[head + 1 :])
         for j in range(head + 1, len(lines)):
-            if lines[j].strip() and j - head - 1 not in quiet and _indent(lines[j]) <= base:
+            if lines[j].strip() and j not in quiet and _indent(lines[j]) <= base:
                 break
             if lines[j].strip():
                 end = j + 1
@@ -326,27 +339,42 @@ def raised(lines: list[str], first: int, end: int, language: str) -> list[dict]:
     return out
 
 
-def qualified(lines: list[str], f: Function, language: str) -> str:
-    """The function's name with the innermost class, receiver or impl block around it."""
+def _owners(lines: list[str], found: list[Function], language: str) -> list[str | None]:
+    """The innermost class or impl block around each function, which come in order of their lines."""
+    pattern = _IMPL if language == "rust" else _CLASS
+    blocks = [(j, m.group(1)) for j, line in enumerate(lines) if (m := pattern.match(line))]
+    out, around, k = [], [], 0
+    for f in found:
+        while k < len(blocks) and blocks[k][0] < f.line:
+            j, name = blocks[k]
+            around.append((j, _body_end(lines, j, j, "java", set()), name))
+            k += 1
+        while around and around[-1][1] <= f.line:
+            around.pop()
+        indent = max(_indent(lines[f.line]), 1)
+        out.append(next((name for j, end, name in reversed(around) if end > f.line and _indent(lines[j]) < indent), None))
+    return out
+
+
+def qualified(lines: list[str], found: list[Function], language: str) -> list[str]:
+    """The functions' names with the innermost class, receiver or impl block around them."""
     if language == "go":
-        m = _RECEIVER.match(lines[f.line])
-        return f"{m.group(1)}.{f.name}" if m else f.name
-    pattern, joint = (_IMPL, "::") if language == "rust" else (_CLASS, ".")
-    for j in range(f.line - 1, -1, -1):
-        if (m := pattern.match(lines[j])) and _indent(lines[j]) < max(_indent(lines[f.line]), 1) and _body_end(lines, j, j, "java") > f.line:
-            return f"{m.group(1)}{joint}{f.name}"
-    return f.name
+        receivers = [_RECEIVER.match(lines[f.line]) for f in found]
+        return [f"{m.group(1)}.{f.name}" if m else f.name for f, m in zip(found, receivers)]
+    joint = "::" if language == "rust" else "."
+    return [f"{owner}{joint}{f.name}" if owner else f.name for f, owner in zip(found, _owners(lines, found, language))]
 
 
 def described(text: str, language: str) -> list[dict]:
     """All functions of a text as records of the model (columns of function_records without ids)."""
-    lines = text.split("\n")
+    lines, found = text.split("\n"), functions(text, language)
+    names = qualified(lines, found, language) if language != "python" else [f.name for f in found]
     return [
         {
-            "name": f.name, "qualified_name": qualified(lines, f, language) if language != "python" else f.name, "source": "\n".join(lines[f.line : f.end]), "lineno": f.line + 1, "end_line": f.end, "signature": f.signature, "docstring": f.documentation,
+            "name": f.name, "qualified_name": name, "source": "\n".join(lines[f.line : f.end]), "lineno": f.line + 1, "end_line": f.end, "signature": f.signature, "docstring": f.documentation,
             "params": parameters(f.signature, language), "return_annotation": return_type(f.signature, language), "raise_statements": raised(lines, f.line, f.end, language), "mutation_patterns": [],
         }
-        for f in functions(text, language)
+        for f, name in zip(found, names)
     ]
 
 

@@ -1,6 +1,7 @@
 """Expressions and parsers on small inputs."""
 
 import textwrap
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -221,6 +222,43 @@ def test_rate_limiter_is_a_fold(spark):
     assert {r.i: r.accepted for r in limits.rate_limited(df, "k", "t", "i", 30, 3).collect()} == want
 
 
+def test_requests_of_one_key_pass_by_in_linear_time(spark):
+    took = []
+    for n in (100_000, 200_000):
+        df = spark.range(n).selectExpr("'k' as k", "id as i", "timestamp_micros(id * 1000) as t").coalesce(1)
+        began = time.perf_counter()
+        rows = limits.rate_limited(df, "k", "t", "i", 30, 5).groupBy("accepted").count().collect()
+        took.append(time.perf_counter() - began)
+        assert sum(r["count"] for r in rows) == n and {r.accepted: r["count"] for r in rows}[True] == 5 * -(-n // 30_000)
+    assert took[1] < 2.5 * took[0] + 1
+
+
+@pytest.mark.parametrize(
+    "language,head,piece",
+    [
+        ("python", "", 'def f%d(a, b):\n    """Doc of it."""\n    return a\n\n'), ("python", "", "def f%d(a, b:\n    return 1\n"), ("javascript", "", "/** Doc. */\nfunction f%d(a) {\n  return a;\n}\n"),
+        ("java", "class A {\n", "  /** Doc. */\n  public int f%d(int a) {\n    return a;\n  }\n"), ("java", "", "class A%d {\n  int f(int a) {\n    return a;\n  }\n}\n"), ("rust", "", "/// Doc.\npub fn f%d(a: u8) -> u8 {\n    a\n}\n"), ("go", "package p\n", "// F doc.\nfunc F%d(a int) int {\n\treturn a\n}\n"),
+    ],
+)
+def test_time_grows_with_the_number_of_functions(language, head, piece):
+    took = []
+    for n in (2000, 8000):
+        text = head + "".join(piece.replace("%d", str(i)) for i in range(n))
+        began = time.perf_counter()
+        assert len(codetext.described(text, language)) == n
+        took.append(time.perf_counter() - began)
+    assert took[1] < 10 * took[0]  # four times the text; a quadratic search takes sixteen times as long
+
+
+def test_a_parameter_list_of_any_length():
+    text = "def f(\n" + "".join(f"    a{i}=({i}, '('),  # ( not open\n" for i in range(300)) + '):\n    """Says what it does."""\n    return 1\n\nx = 1\n'
+    (f,) = codetext.functions(text, "python")
+    assert f.documentation == "Says what it does." and f.end == 304
+    text = "/** Says what it does. */\nfunction f(\n" + "".join(f"  a{i} = [{i}, ')'], // ) no\n" for i in range(300)) + ") {\n  return 1;\n}\nx();\n"
+    (f,) = codetext.functions(text, "javascript")
+    assert f.documentation == "Says what it does." and f.end == 305
+
+
 def test_pdf():
     made = reports.text_to_pdf(["a (b) \\ c", "€ü"])
     assert made.startswith(b"%PDF-1.4") and made.endswith(b"%%EOF") and b"(a \\(b\\) \\\\ c) Tj T*" in made
