@@ -1,14 +1,16 @@
 """The rate limiter: at most `most` accepted requests of a key within `seconds` before each; refused ones do not count.
 
-Batch: an ordered fold per key inside the row. Streaming: the accepted times of each key as state, with a timeout that
-drops keys that have been quiet for a window.
+Batch: a pass over the requests of each key in order of time, that carries the accepted times within the window and
+nothing else. Streaming: the same times as state, with a timeout that drops keys that have been quiet for a window.
 """
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -18,23 +20,36 @@ def rate_limited(requests: DataFrame, key: str, time: str, request_id: str, seco
     """(key, request_id, time, accepted). Requests of one time are taken in the order of their ids; rows without a key or
     time are left out.
 
-    The fold carries only the accepted times still within the window, at most `most` of them. The requests of one key are
-    one array: split a key that may hold more than memory does by time first (quiet gaps of a window part its history).
+    A pause of a whole window forgets everything, so a key's requests part there and go to different tasks. Each part
+    is sorted (on disk if need be) and passes by in batches: the time grows with the number of requests, and memory
+    holds `most` times, however many requests one key has.
     """
+    width = int(seconds * 1_000_000)
     rows = requests.filter(F.col(key).isNotNull() & F.col(time).isNotNull()).select(F.col(key).alias("k"), F.unix_micros(F.col(time).cast("timestamp")).alias("us"), F.col(request_id).alias("r"), F.col(time).alias("t"))
-    sessions = _sessions(rows, int(seconds * 1_000_000))
-    ordered = sessions.groupBy("k", "session").agg(F.array_sort(F.collect_list(F.struct("us", "r", "t"))).alias("xs"))
-    kind = ordered.schema["xs"].dataType.elementType
-    done = f"array<struct<r:{kind['r'].dataType.simpleString()},t:{kind['t'].dataType.simpleString()},accepted:boolean>>"
-    start = F.struct(F.array().cast("array<bigint>").alias("held"), F.array().cast(done).alias("out"))
-
-    def step(acc, x):
-        held = F.filter(acc["held"], lambda u: u > x["us"] - int(seconds * 1_000_000))
-        ok = F.size(held) < most
-        return F.struct(F.when(ok, F.concat(held, F.array(x["us"]))).otherwise(held).alias("held"), F.concat(acc["out"], F.array(F.struct(x["r"].alias("r"), x["t"].alias("t"), ok.alias("accepted")))).alias("out"))
-
-    folded = ordered.select("k", F.explode(F.aggregate("xs", start, step, lambda acc: acc["out"])).alias("x"))
-    return folded.select(F.col("k").alias(key), F.col("x.r").alias(request_id), F.col("x.t").alias(time), "x.accepted")
+    ordered = _sessions(rows, width).repartition("k", "session").sortWithinPartitions("k", "session", "us", "r")
+    kinds = {f.name: f.dataType.simpleString() for f in ordered.schema.fields}
+    decided = ordered.mapInArrow(_fold(width, most), f"k {kinds['k']}, r {kinds['r']}, t {kinds['t']}, accepted boolean")
+    return decided.select(F.col("k").alias(key), F.col("r").alias(request_id), F.col("t").alias(time), "accepted")
+
+
+def _fold(width: int, most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: deque[int] = deque()
+        current = None
+        for batch in batches:
+            accepted = []
+            for part, now in zip(zip(batch.column("k").to_pylist(), batch.column("session").to_pylist()), batch.column("us").to_pylist()):
+                if part != current:
+                    current = part
+                    held.clear()
+                while held and held[0] <= now - width:
+                    held.popleft()
+                accepted.append(len(held) < most)
+                if accepted[-1]:
+                    held.append(now)
+            yield pa.record_batch([batch.column("k"), batch.column("r"), batch.column("t"), pa.array(accepted, pa.bool_())], names=["k", "r", "t", "accepted"])
+
+    return run
 
 
 def _sessions(rows: DataFrame, gap: int) -> DataFrame:

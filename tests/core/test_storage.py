@@ -68,11 +68,13 @@ def test_ingestion_stream(spark, tmp_path):
     (tmp_path / "in/b.py").write_text("def (\n")
     (tmp_path / "in/c.txt").write_text("x")
     (tmp_path / "in/d.js").write_text(" \n")
+    (tmp_path / "in/e.py").write_bytes(b"# " + b"x" * 5_000_000)
+    (tmp_path / "in/f.bin").write_bytes(b"x" * 5_000_000)
     q = ingestion.watch(spark, str(tmp_path / "in"), str(tmp_path / "ok"), str(tmp_path / "no"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert q.exception() is None
     assert [(r.path.rsplit("/", 1)[1], r.source) for r in spark.read.parquet(str(tmp_path / "ok")).collect()] == [("a.py", "x = 1\n")]
-    assert sorted((r.path.rsplit("/", 1)[1], r.error) for r in spark.read.parquet(str(tmp_path / "no")).collect()) == [("b.py", "syntax"), ("c.txt", "unsupported"), ("d.js", "empty")]
+    assert sorted((r.path.rsplit("/", 1)[1], r.error) for r in spark.read.parquet(str(tmp_path / "no")).collect()) == [("b.py", "syntax"), ("c.txt", "unsupported"), ("d.js", "empty"), ("e.py", "too large"), ("f.bin", "unsupported")]
 
 
 def test_streams_equal_batch(spark, tmp_path):
