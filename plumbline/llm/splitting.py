@@ -3,12 +3,13 @@
 Every place where a text may be cut has a strength: between functions (the less indented the stronger), between blocks
 (likewise), after a line, between words. A sparse table over the strengths answers "the strongest place in this range,
 the rightmost of equals" in constant time; each piece ends at the strongest place of its permissible window, which
-begins after the end of the piece before and ends `limit` characters after the piece's own start. The next piece starts
-as far back as the overlap asks. Where a window holds no place at all (one endless word) it is cut at its end, but not
+begins `least` characters after the piece's own start and ends `limit` characters after it. Only if that window holds no
+end of a function or block is the stretch before it asked too, back to the end of the piece before: a short piece comes
+out where nothing else keeps the code whole. The next piece starts as far back as the overlap asks. Where a window holds no place at all (one endless word) it is cut at its end, but not
 within a CR LF pair or before a combining mark.
 
-Only texts above the limit leave the JVM, each by itself; the table covers a bounded stretch of a text at a time, so
-memory does not grow with the text.
+Only texts above the limit leave the JVM, each by itself. The table covers a bounded stretch of a text at a time; the
+places and their strengths are two arrays over the whole text. Time grows in proportion to the text.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 LIMIT, OVERLAP = 2000, 200
+BLOCK = 1100  # the least strength of a cut between functions or blocks
 _STRETCH = 65_536  # places that one table covers
 _WORD_PLACE = re.compile(r"(?<=[^\S\n])(?=\S)")
 _FUNCTION = re.compile(
@@ -102,6 +104,9 @@ class StrongestCut:
         best = max(int(row[lo - self._from]), int(row[hi - (1 << k) - self._from]))
         return int(self.at[best & (1 << 40) - 1])
 
+    def strength_of(self, place: int) -> int:
+        return int(self.strength[np.searchsorted(self.at, place)])
+
 
 def _hard_cut(text: str, first: int, last: int) -> int:
     p = last
@@ -125,10 +130,14 @@ def overlap_start(text: str, start: int, end: int, overlap: int) -> int:
     return least
 
 
-def spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """The pieces of a text as (start, end) offsets, each at most `limit` long. Each begins within the piece before."""
-    if limit <= overlap or limit < 1:
-        raise ValueError("the limit must exceed the overlap")
+def spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP, least: int = 0) -> list[tuple[int, int]]:
+    """The pieces of a text as (start, end) offsets, each at most `limit` long. Each begins within the piece before.
+
+    All but the last are at least `least` long, unless the only place between functions or blocks, or the only place at
+    all, comes earlier.
+    """
+    if limit <= overlap or limit < 1 or least > limit:
+        raise ValueError("the limit must exceed the overlap, and not fall below the least length")
     if len(text) <= limit:
         return [(0, len(text))]
     cuts = StrongestCut(*places(text))
@@ -137,25 +146,32 @@ def spans(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[i
         if len(text) - start <= limit:
             out.append((start, len(text)))
             return out
-        end = cuts.query(done + 1, start + limit)
+        end = cuts.query(max(done + 1, start + least), start + limit)
+        if end is None or cuts.strength_of(end) < BLOCK:
+            early = cuts.query(done + 1, start + limit)
+            if early is not None and (end is None or cuts.strength_of(early) >= BLOCK):
+                end = early
         if end is None:
             end = _hard_cut(text, done + 1, start + limit)
         out.append((start, end))
         start, done = overlap_start(text, start, end, overlap), end
 
 
-def _pieces(limit: int, overlap: int):
+def _pieces(limit: int, overlap: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, no, content, first, last, offset = [], [], [], [], [], []
             for r, (text, line) in enumerate(zip(batch.column("content").to_pylist(), batch.column("start_line").to_pylist())):
-                for k, (s, e) in enumerate(spans(text, limit, overlap)):
+                at = breaks = 0  # the line breaks before the piece's start are counted from piece to piece
+                for k, (s, e) in enumerate(spans(text, limit, overlap, least)):
+                    breaks += text.count("\n", at, s)
+                    at = s
                     row.append(r)
                     no.append(k + 1)
                     content.append(text[s:e])
                     offset.append(s)
-                    first.append(None if line is None else line + text.count("\n", 0, s))
-                    last.append(None if line is None else line + text.count("\n", 0, e - 1))
+                    first.append(None if line is None else line + breaks)
+                    last.append(None if line is None else line + breaks + text.count("\n", s, e - 1))
             keys = batch.column("key").take(pa.array(row, pa.int64()))
             yield pa.record_batch(
                 [keys, pa.array(no, pa.int32()), pa.array(content, pa.string()), pa.array(first, pa.int32()), pa.array(last, pa.int32()), pa.array(offset, pa.int64())],
@@ -165,14 +181,14 @@ def _pieces(limit: int, overlap: int):
     return run
 
 
-def split_oversized(df: DataFrame, id_col: str = "chunk_id", content_col: str = "content", line_col: str = "start_line", limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
+def split_oversized(df: DataFrame, id_col: str = "chunk_id", content_col: str = "content", line_col: str = "start_line", limit: int = LIMIT, overlap: int = OVERLAP, least: int | None = None) -> DataFrame:
     """(id, piece_no from 1, content, start_line, end_line, start_char) of every row whose content exceeds `limit`
     characters (Unicode code points).
 
-    end_line is the line of the piece's last character. Null and short contents give no rows; a null line gives null
+    least: see spans(); a quarter of the limit if None. end_line is the line of the piece's last character. Null and short contents give no rows; a null line gives null
     lines; repeated rows are cut once each (drop them before or after); other columns are not carried.
     """
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(f"`{id_col}`").alias("key"), F.col(f"`{content_col}`").alias("content"), F.col(f"`{line_col}`").cast("int").alias("start_line"))
-    cut = rows.filter(F.length("content") > limit).mapInArrow(_pieces(limit, overlap), f"key {kind}, piece_no int, content string, start_line int, end_line int, start_char bigint")
+    cut = rows.filter(F.length("content") > limit).mapInArrow(_pieces(limit, overlap, limit // 4 if least is None else least), f"key {kind}, piece_no int, content string, start_line int, end_line int, start_char bigint")
     return cut.withColumnRenamed("key", id_col)

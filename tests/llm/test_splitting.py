@@ -1,8 +1,10 @@
 """Pieces cover the text, keep the limit, overlap as stated, and carry right lines; the table equals a plain search."""
 
 import random
+import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -83,3 +85,25 @@ def test_table_rows(spark):
         assert long[offset : offset + len(content)] == content
     assert all(r.start_line is None and r.end_line is None for r in got if r.chunk_id == "g")
     assert s.split_oversized(df.limit(0)).collect() == []
+
+
+def test_short_pieces_only_where_nothing_else_keeps_the_code_whole():
+    body = "    x = 1\n" * 12
+    text = f"import a\nimport b\n\ndef f():\n{body}\ndef g():\n{body}\ndef h():\n{body}"
+    assert {e - a < 100 for a, e in s.spans(text, 300, 0, 100)[:-1]} == {False}
+    late = "import a\n\ndef f():\n" + "    x = 1\n" * 80  # one function, longer than the limit, behind its imports
+    assert s.spans(late, 300, 0, 100)[0] == (0, 10)
+    assert s.spans("word " + "x" * 500, 300, 0, 100)[0] == (0, 5)
+    with pytest.raises(ValueError):
+        s.spans(text, 100, 10, 101)
+
+
+def test_time_grows_with_the_text():
+    took = []
+    for n in (60_000, 120_000):
+        batch = pa.record_batch([["k"], ["x = 1 + 2 # a line\n" * n], [1]], names=["key", "content", "start_line"])
+        began = time.perf_counter()
+        (out,) = s._pieces(2000, 200, 500)([batch])
+        took.append(time.perf_counter() - began)
+        assert out.column("end_line")[-1].as_py() == n and out.column("start_line")[1].as_py() > 1
+    assert took[1] < 2.5 * took[0] + 0.3
