@@ -13,18 +13,22 @@ all records, in turn until nothing changes (text may be garbled twice):
 * written in another one-byte encoding: any text decodes, so a word is taken as garbled only if its decoded form is a
   word of the corpus and the better word of the two: by the letter pairs of the corpus's words of natural shape (lower
   case, or one capital in front; one script), by shape, and where both leave it open by RATIO times as many texts.
-* characters lost on the way (replacement characters, half sequences, control codes from the upper half): the text is a
-  case; words are restored from the most frequent clean word with the same skeleton, else the loss stays marked.
+* characters lost on the way: a replacement character is the decoder's own mark of a loss; control codes from the upper
+  half and half sequences count only where votes show that UTF-8 was misread in the corpus. Words are restored from the
+  most frequent clean word with the same skeleton, else the loss stays marked.
 
 A garbled sequence that stands alone between ASCII quotes or backticks is quoted as a subject and is no case.
 
 What is collected to the driver is bounded whatever the corpus: votes by pair of encodings, and counts by character.
 Frequencies are numbers of distinct texts, so copies of one text, garbled or not, weigh as one. Counts of words and
-variants combine before their shuffle; a frequent skeleton brings one row for each distinct variant.
+variants combine before their shuffle; a frequent skeleton brings one row for each distinct variant. Nothing is too long
+to learn from: words are taken in parts of WORD_PART characters, sentences in parts of SENTENCE_PART ASCII characters
+(these stand at the same places in a garbled text and its twin).
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 import unicodedata
@@ -48,6 +52,7 @@ VOTES = 2  # distinct aligned pairs that a transformation needs
 RATIO, WORD_DOCS, WORD_VOTES, WORD_LETTERS = 5, 2, 5, 3
 LEAN = 1.0  # mean difference of the letter pairs' logarithms (base 2) that decides which of two words is garbled
 BROADCAST_ROWS = 200_000
+WORD_PART, SENTENCE_PART, LONG_SENTENCE = 64, 300, 2000
 
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _TOKEN = re.compile(r"[A-Za-z]*[^\x00-\x7f][A-Za-z\u0080-\U0010ffff]*")
@@ -58,7 +63,9 @@ _LOST = re.compile(r"�|[\x80-\x84\x86-\x9f]")
 _HALF = re.compile("[\u00c2-\u00f4][\u00a1-\u00bf][\u00c2-\u00f4]*[\u00c2-\u00f4][\u00a1-\u00bf]")
 _INVISIBLE = re.compile("[\\x80-\\xa0\\xad\\s]")
 _SIGN = re.compile("[\u2010-\u205e\u20a0-\u20bf\u2100-\u27bf\u2900-\u2bff\ufe0f\U0001f300-\U0001faff]")  # signs that texts may use once
-_QUOTES = {"'": "'", '"': '"', "`": "`"}
+# A word that stands alone between ASCII quotes or backticks.
+_QUOTED = re.compile(r"(?<=([\"'`]))(?:[^\W_]|[^\x00-\x7f])++(?=\1)")
+_PIECE = re.compile(r"[^\x00-\x7f]*[\x00-\x7f]")
 
 
 @lru_cache(maxsize=None)
@@ -242,7 +249,7 @@ class Mapping:
         """The run decoded until nothing changes; None if it is neither garbled nor lossy. Runs repeat, so they are kept."""
         if run in self._known:
             return self._known[run]
-        lost, now = _LOST.search(run) or _HALF.search(run), run
+        lost, now = "\ufffd" in run or self.reads and (_LOST.search(run) or _HALF.search(run)), run
         if lost or len(run) > 1 and any(_sequences(r).search(run) for r in self.reads):
             for _ in range(6):
                 after = self.step(now)
@@ -256,22 +263,42 @@ class Mapping:
 
     def stretches(self, text: str) -> list[tuple[int, int, str]]:
         """(start, end, restored) of the garbled stretches; restored is equal to the stretch where characters were lost."""
-        out = []
-        for m in _RUN.finditer(text):
-            now = self.restored(m.group())
-            if now is not None and not _quoted(text, m.start(), m.end()):
-                out.append((m.start(), m.end(), now))
-        return out
+        found = [(m.start(), m.end(), now) for m in _RUN.finditer(text) if (now := self.restored(m.group())) is not None]
+        quoted = _quoted(text) if found else []
+        return [x for x in found if not _within(quoted, x[0], x[1])]
+
+
+def _quoted(text: str) -> list[tuple[int, int]]:
+    """The words that stand alone between ASCII quotes or backticks, in order."""
+    return [m.span() for m in _QUOTED.finditer(text)]
+
+
+def _within(spans: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether text[start:end] lies within one of the spans, which are in order and do not meet."""
+    k = bisect.bisect_right(spans, (start, len(spans) and spans[-1][1])) - 1
+    return k >= 0 and spans[k][1] >= end
+
+
+def tokens(text: str) -> Iterator[tuple[int, int]]:
+    """The words with characters outside ASCII; long ones in parts."""
+    for m in _TOKEN.finditer(text):
+        if m.end() - m.start() <= WORD_PART:
+            yield m.span()
+        else:
+            yield from ((a, min(a + WORD_PART, m.end())) for a in range(m.start(), m.end(), WORD_PART))
 
 
-def _quoted(text: str, start: int, end: int) -> bool:
-    """Whether the word that holds text[start:end] stands alone between ASCII quotes or backticks."""
-    a, b = start, end
-    while a > 0 and start - a < 40 and (text[a - 1].isalnum() or text[a - 1] > "\x7f"):
-        a -= 1
-    while b < len(text) and b - end < 40 and (text[b].isalnum() or text[b] > "\x7f"):
-        b += 1
-    return 0 < a and b < len(text) and text[a - 1] in _QUOTES and text[b] == _QUOTES[text[a - 1]]
+def sentences(text: str) -> set[str]:
+    """The distinct sentences with characters outside ASCII and ASCII letters; long ones in parts of as many ASCII
+    characters."""
+    out = set()
+    for s in _SENTENCE.split(text):
+        if len(s) <= LONG_SENTENCE:
+            out.add(s)
+            continue
+        at = [0, *[m.end() for k, m in enumerate(_PIECE.finditer(s), 1) if k % SENTENCE_PART == 0], len(s)]
+        out.update(s[a:b] for a, b in zip(at, at[1:]))
+    return {s for s in out if _RUN.search(s) and sum(c.isalpha() for c in skeleton(s)) >= 6}
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +307,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
         rows: Counter[str] = Counter()
         for text, copies in zip(batch.column("text").to_pylist(), batch.column("copies").to_pylist()):
-            words = {w for w in _TOKEN.findall(text) if len(w) <= 64}
+            words = {text[a:b] for a, b in tokens(text)}
             counts.update(words)
             for w in words:
                 rows[w] += copies
@@ -290,7 +317,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _row_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(row, text) to (row, word): each text's distinct words with non-ASCII characters."""
     for batch in batches:
-        words = [set(_TOKEN.findall(text)) for text in batch.column("text").to_pylist()]
+        words = [{text[a:b] for a, b in tokens(text)} for text in batch.column("text").to_pylist()]
         at = [r for r, w in zip(batch.column("row").to_pylist(), words) for _ in w]
         yield pa.record_batch([pa.array(at, pa.int64()), pa.array([x for w in words for x in w], pa.string())], names=["row", "garbled"])
 
@@ -300,7 +327,7 @@ def _sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: Counter[str] = Counter()
         for text in batch.column("text").to_pylist():
-            counts.update({s for s in _SENTENCE.split(text) if len(s) <= 2000 and _RUN.search(s) and sum(c.isalpha() for c in skeleton(s)) >= 6})
+            counts.update(sentences(text))
         keys = [skeleton(s) for s in counts]
         yield pa.record_batch([pa.array(keys, pa.string()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["skeleton", "variant", "n"])
 
@@ -389,12 +416,15 @@ def _restore(mapping: Mapping):
                 n_words = 0
                 if known:
                     whole = {a for a, _, now in found if not _LOST.search(now) and not _RUN.search(now) or now.isalpha()}
-                    for m in _TOKEN.finditer(text):
-                        inside = [a for a, b in taken if m.start() <= a < m.end()]
-                        if m.group() in known and not (inside and all(a in whole for a in inside)) and not _quoted(text, *m.span()):
-                            spans = [s for s in spans if not (m.start() <= s[0] < m.end())]
-                            spans.append((m.start(), m.end(), known[m.group()]))
-                            n_words += not any(m.start() <= a < m.end() for a, _ in taken)
+                    quoted, places = _quoted(text), sorted(a for a, _ in taken)
+                    replaced: list[tuple[int, int, str]] = []
+                    for start, end in tokens(text):
+                        inside = places[bisect.bisect_left(places, start) : bisect.bisect_left(places, end)]
+                        if text[start:end] in known and not (inside and all(a in whole for a in inside)) and not _within(quoted, start, end):
+                            replaced.append((start, end, known[text[start:end]]))
+                            n_words += not inside
+                    starts = [(a, b) for a, b, _ in replaced]
+                    spans = [s for s in spans if not _within(starts, s[0], s[0] + 1)] + replaced
                 if not spans:
                     continue
                 out, at = [], 0
@@ -405,7 +435,7 @@ def _restore(mapping: Mapping):
                 whole = "".join(out) + text[at:]
                 rows.append(r)
                 stretches.append(len(found) + n_words)
-                lost.append(len(_LOST.findall(whole)))
+                lost.append(len(_LOST.findall(whole)) + sum(len(_HALF.findall(now)) for _, _, now in spans))
                 restored.append(whole)
             keys = batch.column("key").take(pa.array(rows, pa.int64()))
             yield pa.record_batch([keys, pa.array(stretches, pa.int32()), pa.array(lost, pa.int32()), pa.array(restored, pa.string())], names=["key", "n_stretches", "n_lost", "restored"])

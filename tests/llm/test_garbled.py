@@ -113,3 +113,28 @@ def test_a_hot_garbled_sentence_gives_votes(spark):
     rows = [(i, misread(t, "mac_roman") + f". Nr {k}") for k in range(20) for i, t in enumerate(clean)] + [(9, t) for t in clean] + [(10, misread(t, "cp437")) for t in clean]
     votes = {(r.read, r.wrote) for r in g.Garbled(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text").votes().filter("votes >= 2").collect()}
     assert {("mac_roman", "utf-8"), ("cp437", "utf-8")} <= votes
+
+
+def test_half_sequences_need_a_learned_transformation(spark):
+    odd = "Ã¤" * 40 + "x"
+    df = spark.createDataFrame(list(enumerate([odd, "plain", CLEAN[0], CLEAN[1]])), "doc_id int, text string")
+    assert g.Garbled(df, "doc_id", "text").restored().collect() == []
+    assert g.Mapping([], {}).stretches(odd) == [] and g.Mapping([], {}).stretches("caf�")
+    assert g.Mapping(["latin-1"], {"ä": 9}).stretches(odd)[0][2] == "ä" * 40
+
+
+def test_long_words_and_sentences_are_learned_from(spark):
+    word = "漢字仮名交" * 40  # one run of 200 characters, as Japanese writes
+    assert "".join(word[a:b] for a, b in g.tokens(word)) == word and max(b - a for a, b in g.tokens(word)) <= g.WORD_PART
+    long = "the größe of every column and the façade of it " * 200
+    parts, wrong = g.sentences(long), g.sentences(misread(long, "cp1252"))
+    assert {g.skeleton(x) for x in parts} == {g.skeleton(x) for x in wrong} and len(parts) > 1
+    rows = [word, word + "。", misread(word, "cp1252"), long, misread(long, "cp1252"), long + "x", *CLEAN, *[misread(t, "cp1252") for t in CLEAN]]
+    got = {r.doc_id: r.restored for r in g.Garbled(spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string"), "doc_id", "text").restored().collect()}
+    assert got[2] == word and got[4] == long and not {0, 1, 3, 5} & set(got)
+
+
+@pytest.mark.parametrize("text,inside", [("says 'Ã¤x' here", True), ("says 'Ã¤x here'", False), ("`" + "Ã¤" * 300 + "`", True), ("Ã¤'", False)])
+def test_quoted_words_of_any_length(text, inside):
+    m = g._RUN.search(text)
+    assert g._within(g._quoted(text), *m.span()) == inside
