@@ -6,11 +6,14 @@ records: a node hands each record to a child for every token that the node sampl
 record's tokens), so records meet in a child exactly when they share a sampled token. A child that holds few records
 is compared by brute force; a larger one is split again; one that keeps most of its parent's records is dense, and is
 compared block by block. Independent runs repeat until the recall that the collision probabilities promise at the
-threshold is reached. An exact check of the shingle sets ends the join, so every pair that comes out is right.
+threshold, for the depth that the tree really reached, is reached. An exact check of the shingle sets ends the join, so
+every pair that comes out is right.
 
 How the plan holds at scale: copies (equal word sequences) fold into one representative before the tree; a tree row is
 (path, record number, sketch of 18 bytes), never text; bucket sizes are counted with map-side partial sums, so a hot bucket
-is known, and split, before its rows are shuffled; no bucket above `bucket` rows is ever compared in one task.
+is known, and split, before its rows are shuffled; no bucket above `bucket` rows is compared in one task, and dense ones in
+cells of two blocks of `dense_block` rows, so each of their n rows moves n / dense_block times. A family of n different
+texts that are all alike has n (n - 1) / 2 links, which are found and counted one by one: that work cannot be less.
 """
 
 from __future__ import annotations
@@ -191,6 +194,27 @@ def runs_for(target: float, similarity: float, branching: float, depth: int) ->
     return max(1, math.ceil(math.log(1 - target) / math.log(1 - run_success(similarity, branching, depth))))
 
 
+def expected_recall(runs: int, similarity: float, branching: float, depth: int, positions: int = POSITIONS) -> float:
+    """The part of the pairs of this similarity that `runs` runs bring together at `depth`. All runs see the same MinHash
+    values, so the mean is taken over how many of them agree."""
+    return sum(math.comb(positions, m) * similarity**m * (1 - similarity) ** (positions - m) * (1 - (1 - _success(m, branching, depth, positions)) ** runs) for m in range(positions + 1))
+
+
+def _success(agreeing: int, branching: float, depth: int, positions: int) -> float:
+    p = 1.0
+    for _ in range(depth):
+        p = 1 - (1 - branching / positions * p) ** agreeing
+    return p
+
+
+def runs_needed(target: float, similarity: float, branching: float, depth: int) -> int:
+    """The least number of runs whose expected recall reaches the target."""
+    runs = 1
+    while expected_recall(runs, similarity, branching, depth) < target:
+        runs += 1
+    return runs
+
+
 def _describe_text(df: DataFrame, id_col: str, text_cols: list[str]) -> DataFrame:
     """(id, text): the text columns joined by a blank, null as empty. Ids that are null have no pairs and are left out."""
     text = F.concat_ws(" ", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in text_cols])
@@ -239,12 +263,13 @@ class NearDuplicates:
     df: any columns; id_col and text_cols name those used. Rows of one id count once. A null text is empty; a record of
     fewer than `shingle` words has no shingles and no partner. An empty table gives empty results.
     threshold: least Jaccard similarity of the shingle sets (default 0.8 on five words).
-    bucket: rows up to which a node is compared by brute force. target_recall: see runs_for().
+    bucket: rows up to which a node is compared by brute force. target_recall: see runs_needed(). max_depth: nodes that are
+    still too large there are compared as dense ones.
     """
 
-    def __init__(self, df: DataFrame, id_col: str, text_cols: list[str], threshold: float = 0.8, shingle: int = 5, bucket: int = 48, branching: float = 2.0, target_recall: float = 0.999, max_depth: int = 8):
+    def __init__(self, df: DataFrame, id_col: str, text_cols: list[str], threshold: float = 0.8, shingle: int = 5, bucket: int = 48, branching: float = 2.0, target_recall: float = 0.999, max_depth: int = 8, dense_block: int = 512):
         self.threshold, self.shingle, self.bucket, self.branching, self.max_depth = threshold, shingle, bucket, branching, max_depth
-        self.runs = runs_for(target_recall, threshold, branching, 3)
+        self.target_recall, self.dense_block = target_recall, dense_block
         unequal = (1 - threshold) * (1 - 0.5**PLANES)
         self.most_unequal = math.ceil(POSITIONS * unequal + SLACK_SD * math.sqrt(POSITIONS * unequal * (1 - unequal)))
         self.texts = _describe_text(df, id_col, text_cols)
@@ -266,7 +291,19 @@ class NearDuplicates:
     def candidates(self) -> DataFrame:
         """(ra, rb), ra < rb: record numbers that met in a node and whose sketches agree well enough."""
         reps = _prune(self.base.select("rid", "sig"), self.again.select("rid"), "left_anti")
-        seeds = [int(x) for x in _mix(np.arange(1, self.runs + 1, dtype=np.uint64)).view(np.int64)]
+        runs = runs_needed(self.target_recall, self.threshold, self.branching, 3)
+        met, depth = self._grow(reps, 1, runs)
+        more = runs_needed(self.target_recall, self.threshold, self.branching, depth) - runs
+        if more > 0:
+            met += self._grow(reps, runs + 1, more)[0]
+        found = met[0]
+        for further in met[1:]:
+            found = found.union(further)
+        return found.distinct()
+
+    def _grow(self, reps: DataFrame, first: int, runs: int) -> tuple[list[DataFrame], int]:
+        """What meets in `runs` trees from number `first` on, and the depth of the deepest."""
+        seeds = [int(x) for x in _mix(np.arange(first, first + runs, dtype=np.uint64)).view(np.int64)]
         level = reps.withColumn("nodes", F.array(*[F.lit(s) for s in seeds])).withColumn("parent_n", F.lit(2**62))
         kind = f"rid bigint, sig binary, {''.join(f'{x} bigint, ' for x in _SKETCH)}parent_n bigint, paths array<bigint>"
         met = []
@@ -290,14 +327,11 @@ class NearDuplicates:
             level = split.select("rid", "sig", F.array("path").alias("nodes"), "parent_n")
             if depth < self.max_depth:
                 level = written(level, "level")
-        found = met[0]
-        for more in met[1:]:
-            found = found.union(more)
-        return found.distinct()
+        return met, depth
 
     def _blocks(self, rows: DataFrame) -> DataFrame:
         """Rows of dense nodes, once for each block that theirs is compared with: a cell holds two blocks at most."""
-        many = F.ceil(F.col("n") / self.bucket).cast("long")
+        many = F.ceil(F.col("n") / self.dense_block).cast("long")
         own = F.pmod(F.xxhash64("rid"), F.col("many"))
         other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1))
         out = rows.withColumn("many", many).withColumn("own", own).withColumn("other", other)
@@ -326,22 +360,35 @@ class NearDuplicates:
         return both.mapInArrow(_exact(self.threshold, self.shingle), "ra bigint, rb bigint, similarity double")
 
 
-def expand_pairs(pairs: DataFrame, members: DataFrame, salts: int = 16) -> DataFrame:
+def expand_pairs(pairs: DataFrame, members: DataFrame, part: int = 5_000) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs of different ids behind the representatives' pairs, and within a class.
 
-    Members are spread over `salts` parts on one side and repeated on the other, so one class with a third of all rows
-    is expanded by many tasks.
+    A class of n rows is cut into n / part parts, and whatever is paired with it is repeated for each, so one class with a
+    third of all rows is expanded by many tasks.
     """
     members = written(members, "members")
-    part = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts)))
-    every = members.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    sizes = members.groupBy("rid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = written(sizes.select("rid"), "shared")
-    copied = _prune(part, shared, "left_semi"), _prune(every, shared, "left_semi")
-    within = copied[0].select("rid", "salt", F.col("id").alias("x")).join(copied[1].select("rid", "salt", F.col("id").alias("y")), ["rid", "salt"]).filter("x < y")
-    a = members.select(F.col("rid").alias("ra"), F.col("id").alias("x"))
-    b = members.select(F.col("rid").alias("rb"), F.col("id").alias("y"))
-    across = pairs.select("ra", "rb").join(a, "ra").join(b, "rb").filter("x <> y")
+    sizes = written(members.groupBy("rid").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("rid", F.ceil(F.col("n") / part).cast("int").alias("parts")), "shared")
+    large = sizes.filter("parts > 1")
+    small = rows_at_most(large, BROADCAST_ROWS)
+
+    def parts_of(df: DataFrame, rid: str) -> DataFrame:
+        known = large.select(F.col("rid").alias(rid), "parts")
+        return df.join(F.broadcast(known) if small else known, rid, "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+
+    def spread(df: DataFrame, rid: str) -> DataFrame:
+        """Each row in the part of its id."""
+        return parts_of(df, rid).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+
+    def repeated(df: DataFrame, rid: str) -> DataFrame:
+        """Each row once for every part."""
+        return parts_of(df, rid).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+
+    copied = _prune(members, sizes.select("rid"), "left_semi")
+    within = spread(copied, "rid").select("rid", "part", F.col("id").alias("x")).join(repeated(copied, "rid").select("rid", "part", F.col("id").alias("y")), ["rid", "part"]).filter("x < y")
+    a = spread(members.select(F.col("rid").alias("ra"), "id"), "ra").withColumnRenamed("id", "x")
+    b = spread(members.select(F.col("rid").alias("rb"), "id"), "rb").withColumnRenamed("id", "y")
+    left = repeated(pairs.select("ra", "rb"), "ra").join(a, ["ra", "part"]).select("rb", "x")
+    across = repeated(left, "rb").join(b, ["rb", "part"]).filter("x <> y")
     both = across.select("x", "y").union(within.select("x", "y"))
     return both.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 

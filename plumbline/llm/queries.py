@@ -159,6 +159,12 @@ _SQL = {
     s AS (SELECT DISTINCT id, concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM d)), n AS (SELECT id, count(*) AS n FROM s GROUP BY 1),
     p AS (SELECT x.id AS id_a, y.id AS id_b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.id < y.id GROUP BY 1, 2)
     SELECT id_a, id_b FROM p JOIN n a ON a.id = id_a JOIN n b ON b.id = id_b WHERE c / (a.n + b.n - c) >= 0.7""",
+    # classes of equal word sequences, links between their least ids, and what can be reached over links
+    "p1_groups": """WITH RECURSIVE d AS (SELECT DISTINCT ON (id) id, regexp_extract_all(lower(source || ' ' || coalesce(docstring, '')), '[a-z0-9_]+') AS w FROM function_records),
+    k AS (SELECT id, w, CASE WHEN len(w) >= 3 THEN min(id) OVER (PARTITION BY w) END AS class_id FROM d), s AS (SELECT DISTINCT id, concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM k WHERE id = class_id)),
+    n AS (SELECT id, count(*) AS n FROM s GROUP BY 1), c AS (SELECT x.id AS a, y.id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.id <> y.id GROUP BY 1, 2), p AS (SELECT a, b FROM c JOIN n na ON na.id = a JOIN n nb ON nb.id = b WHERE c / (na.n + nb.n - c) >= 0.7),
+    r AS (SELECT id, id AS other FROM n UNION SELECT r.id, p.b FROM r JOIN p ON p.a = r.other), g AS (SELECT id, min(other) AS group_id FROM r GROUP BY 1), l AS (SELECT a AS id, count(*) AS n_links FROM p GROUP BY 1)
+    SELECT k.id, class_id, coalesce(group_id, k.id) AS group_id, coalesce(n_links, 0)::BIGINT AS n_links FROM k LEFT JOIN g ON g.id = class_id LEFT JOIN l ON l.id = class_id""",
     "p3_found": "SELECT DISTINCT chunk_id FROM code_chunks WHERE length(content) > 2000",
     # every run of twelve words of a text that is one of a passage
     "p7_found": """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents), e AS (SELECT item_id, regexp_extract_all(lower(passage), '[\\p{L}\\p{N}]+') AS w FROM eval_items),

@@ -49,7 +49,7 @@ def table(spark, rows):
 def test_pairs_equal_brute_force(spark):
     rows = corpus(random.Random(11), 90)
     join = n.NearDuplicates(table(spark, rows), "id", ["source", "docstring"], 0.7, 3, bucket=12)
-    got = [tuple(r) for r in n.expand_pairs(join.pairs(), join.members(), salts=4).collect()]
+    got = [tuple(r) for r in n.expand_pairs(join.pairs(), join.members(), part=9).collect()]
     assert len(got) == len(set(got)) and all(a < b for a, b in got)
     assert set(got) == brute([(i, (t or "") + " ") for i, t in rows], 0.7, 3)
 
@@ -124,3 +124,20 @@ def test_components(spark):
     for a, b in edges:
         parent[max(root(a), root(b))] = min(root(a), root(b))
     assert {r.rid: r.component for r in n.components(pairs, nodes).collect()} == {i: root(i) for i in range(201)}
+
+
+@pytest.mark.parametrize("depth", [1, 3, 4, 8])
+def test_runs_reach_the_target_over_the_agreeing_positions(depth):
+    runs = n.runs_needed(0.999, 0.7, 2.0, depth)
+    assert n.expected_recall(runs, 0.7, 2.0, depth) >= 0.999 > n.expected_recall(runs - 1, 0.7, 2.0, depth)
+    assert runs >= n.runs_needed(0.999, 0.7, 2.0, 1)
+
+
+def test_large_classes_and_dense_families_in_parts(spark):
+    words = [f"w{k}" for k in range(40)]
+    family = [" ".join([*words[:20], f"x{k}", *words[20:]]) for k in range(60)]  # all alike, all different
+    rows = [(f"a{k:03}", " ".join(words)) for k in range(70)] + [(f"b{k:03}", t) for k, t in enumerate(family)] + [("z", "nothing like the others at all here")]
+    df = spark.createDataFrame(rows, "id string, source string")
+    join = n.NearDuplicates(df, "id", ["source"], 0.7, 3, bucket=8, dense_block=16)
+    got = [tuple(r) for r in n.expand_pairs(join.pairs(), join.members(), part=9).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(brute(rows, 0.7, 3)) and len(got) > 8000
