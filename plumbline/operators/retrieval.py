@@ -9,13 +9,19 @@ so that results do not depend on the order of summation.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from plumbline.functions import columns as C
 from plumbline.session import rows_at_most, written
 
 BROADCAST_ROWS = 200_000
+BLOCK_WORDS, BLOCK_VECTORS = 20_000, 2_000  # of a stated query set, that meet the rows of one pass
 #: Words whose presence marks a contract.
 CONTRACT = ("return", "returns", "raises", "raise", "param", "params", "mutates", "contract", "bcv")
 
@@ -74,7 +80,57 @@ class Index:
         return written(tfidf(term_counts(queries, query, text, self.unicode), self.weights, query), "queries")
 
 
-def _small(df: DataFrame) -> DataFrame:
+class Corpus:
+    """Chunks and their index, held in the shared folder for all searches of a session.
+
+    chunks: the columns of code_chunks; rows of one chunk_id count once. The chunks are read and reduced once, and each
+    table of the index is made once, when a search first asks for it.
+    """
+
+    def __init__(self, chunks: DataFrame, unicode: bool = True):
+        self.unicode = unicode
+        self.chunks = written(chunks.dropDuplicates(["chunk_id"]), "chunks")
+        self._index: Index | None = None
+
+    @property
+    def docs(self) -> DataFrame:
+        return self.chunks.select("chunk_id", document_text(F.col("file_path"), F.col("function_name"), F.col("docstring"), F.col("content")).alias("text"), "content", "function_name", "docstring")
+
+    @property
+    def index(self) -> Index:
+        if self._index is None:
+            self._index = Index(self.docs.select("chunk_id", "text"), "chunk_id", "text", self.unicode)
+        return self._index
+
+    def dense(self, queries: DataFrame, query: str, text: str, k: int) -> DataFrame:
+        return dense_top(self.index.vectors, self.index.query_vectors(queries, query, text), self.chunks.select("chunk_id"), queries, "chunk_id", query, k)
+
+    def sparse(self, queries: DataFrame, query: str, text: str, k: int) -> DataFrame:
+        return top(overlap_scores(self.chunks.select("chunk_id", "content"), query_terms(queries, query, text, self.unicode), "chunk_id", "content", query), query, "chunk_id", k)
+
+    def hybrid(self, queries: DataFrame, query: str, text: str, k: int) -> DataFrame:
+        return hybrid_top(self.dense(queries, query, text, 2 * k), self.sparse(queries, query, text, 2 * k), query, "chunk_id", k)
+
+    def reranked(self, queries: DataFrame, query: str, text: str, wide: int = 5, k: int = 3) -> DataFrame:
+        """(query, key, score, rank) after the feature rerank. The few rows of the hybrid search are counted and, if small,
+        broadcast to the chunks; so are the queries."""
+        best = self.hybrid(queries, query, text, wide).select(query, "chunk_id", F.col("score").alias("initial"))
+        asked = queries.select(query, F.col(text).alias("_query"))
+        rows = self.docs.join(small_side(written(best, "best")), "chunk_id").join(small_side(asked), query)
+        scored = rows.withColumn("score", feature_score(F.col("initial"), F.col("_query"), F.col("function_name"), F.col("docstring"), F.col("content"), self.unicode))
+        return top(scored.select(query, "chunk_id", "score"), query, "chunk_id", k)
+
+    def answered(self, queries: DataFrame, query: str, text: str, truth: str | None = None) -> DataFrame:
+        """One run per query: (query, its text as "query", retrieved, response, ground_truth), the response the cited answer
+        without a model. The whole way from the search to what run_metrics() takes."""
+        held = self.chunks.select("chunk_id", chunk_struct().alias("c")).join(small_side(written(self.reranked(queries, query, text).select(query, "chunk_id", "rank"), "reranked")), "chunk_id")
+        sets = held.groupBy(query).agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "c"))), lambda x: x["c"]).alias("retrieved"))
+        asked = queries.select(query, F.col(text).alias("query"), (F.col(truth) if truth else F.lit(None).cast("string")).alias("ground_truth"))
+        return sets.join(small_side(asked), query).select(query, "query", "retrieved", fallback_answer(F.col("retrieved")).alias("response"), "ground_truth")
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """`df` marked for broadcast if it has at most BROADCAST_ROWS rows, else as it is."""
     return F.broadcast(df) if rows_at_most(df, BROADCAST_ROWS) else df
 
 
@@ -85,7 +141,7 @@ def dot_products(index: DataFrame, query_vectors: DataFrame, key: str, query: st
     moves is the index and not its pairs with the queries.
     """
     q = query_vectors.select(query, "term", F.col("weight").alias("qw"))
-    return index.repartition(key).join(_small(q), "term").groupBy(query, key).agg(F.round(F.sum(F.col("weight") * F.col("qw")), 9).alias("score"))
+    return index.repartition(key).join(small_side(q), "term").groupBy(query, key).agg(F.round(F.sum(F.col("weight") * F.col("qw")), 9).alias("score"))
 
 
 def top(scores: DataFrame, query: str, key: str, k: int, score: str = "score") -> DataFrame:
@@ -113,13 +169,19 @@ def query_terms(queries: DataFrame, query: str, text: str, unicode: bool = True)
 def overlap_scores(docs: DataFrame, terms: DataFrame, key: str, content: str, query: str) -> DataFrame:
     """(query, key, score > 0): the share of a query's words that stand in the content as substrings, in lower case.
 
-    The distinct words of the stated queries are one array; each content is tested against it once, within its row.
+    The distinct words of the stated queries are counted and tested in blocks of about BLOCK_WORDS: one array per block,
+    against which each content is tested within its row. However many queries are asked, no array grows beyond that.
     """
-    words = terms.select(F.collect_set("term")).scalar()
-    given = docs.select(key, F.lower(F.col(content)).alias("_text"), words.alias("_words"))
-    # exploded as "outer": an inner explode brings a filter that would search every content twice
-    held = given.select(key, F.explode_outer(F.filter("_words", lambda t: F.contains(F.col("_text"), t))).alias("term")).filter("term is not null").repartition(key)
-    return held.join(_small(terms), "term").groupBy(query, key, "length").agg(F.sum("n").alias("hits")).select(query, key, F.round(F.col("hits") / F.greatest("length", F.lit(1)), 9).alias("score"))
+    distinct = terms.select("term").distinct()
+    blocks = -(-distinct.count() // BLOCK_WORDS) or 1
+    parts = []
+    for b in range(blocks):
+        own = distinct.filter(F.pmod(F.xxhash64("term"), F.lit(blocks)) == b) if blocks > 1 else distinct
+        given = docs.select(key, F.lower(F.col(content)).alias("_text"), own.select(F.collect_list("term")).scalar().alias("_words"))
+        # exploded as "outer": an inner explode brings a filter that would search every content twice
+        parts.append(given.select(key, F.explode_outer(F.filter("_words", lambda t: F.contains(F.col("_text"), t))).alias("term")).filter("term is not null"))
+    held = functools.reduce(DataFrame.unionAll, parts).repartition(key)
+    return held.join(small_side(terms), "term").groupBy(query, key, "length").agg(F.sum("n").alias("hits")).select(query, key, F.round(F.col("hits") / F.greatest("length", F.lit(1)), 9).alias("score"))
 
 
 def bm25_scores(counts: DataFrame, terms: DataFrame, n_docs: DataFrame, key: str, query: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
@@ -132,7 +194,7 @@ def bm25_scores(counts: DataFrame, terms: DataFrame, n_docs: DataFrame, key: str
     average = counts.select(key, "length").distinct().agg(F.avg("length")).scalar()
     norm = F.col("n") + k1 * (1 - b + b * F.col("length") / average)
     q = terms.select(query, "term", F.col("n").alias("qn")).join(weights, "term")
-    per = counts.repartition(key).join(_small(q), "term").groupBy(query, key).agg(F.sum(F.col("qn") * F.col("idf") * F.col("n") * (k1 + 1) / norm).alias("raw"))
+    per = counts.repartition(key).join(small_side(q), "term").groupBy(query, key).agg(F.sum(F.col("qn") * F.col("idf") * F.col("n") * (k1 + 1) / norm).alias("raw"))
     best = F.max("raw").over(Window.partitionBy(query))
     return per.select(query, key, F.round(F.col("raw") / F.when(best > 0, best).otherwise(1.0), 9).alias("score"))
 
@@ -169,6 +231,21 @@ def min_max(scores: DataFrame, query: str, score: str) -> DataFrame:
     return scores.withColumn(score, (F.col(score) - low) / F.when(high != low, high - low).otherwise(1.0))
 
 
+def scored_by(rows: DataFrame, scorer: Callable[[list[tuple[str, str]]], list[float]], query: str, text: str, score: str = "model_score") -> DataFrame:
+    """rows plus the score of a model (a cross-encoder, say) for each (query, text), in batches on the executors.
+
+    `scorer` takes a list of pairs and returns as many numbers; it must be importable on the executors. Nulls are empty
+    texts. Spread the scores with min_max() and rank them with top().
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            pairs = [(q or "", t or "") for q, t in zip(b.column(query).to_pylist(), b.column(text).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([float(x) for x in scorer(pairs)] if pairs else [], pa.float64())], names=[*b.schema.names, score])
+
+    return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(score, T.DoubleType())]))
+
+
 def ranking_quality(ranked: DataFrame, relevant: DataFrame, query: str, key: str, depth: int = 3) -> DataFrame:
     """One row: share of queries with a relevant key at rank 1, within `depth`, and the mean reciprocal rank (0 beyond it).
 
@@ -184,11 +261,17 @@ def ranking_quality(ranked: DataFrame, relevant: DataFrame, query: str, key: str
 def cosine_top(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query: str, query_vector: str, k: int) -> DataFrame:
     """(query, key, score, rank): nearest vectors by cosine for a stated query set, against all rows.
 
-    The queries are one array of a counted size; every row meets them within its own task, and k per query leave each
-    partition. More queries than BROADCAST_ROWS / 100 are an error: run them in blocks.
+    The queries are counted and taken in blocks of about BLOCK_VECTORS, each one array; every row meets a block within its
+    own task, and k per query leave each partition, so pairs never move. Any number of queries can be asked.
     """
-    if not rows_at_most(queries, BROADCAST_ROWS // 100):
-        raise ValueError("run the queries in blocks")
+    blocks = -(-queries.count() // BLOCK_VECTORS) or 1
+    if blocks > 1:
+        parts = [queries.filter(F.pmod(F.xxhash64(query), F.lit(blocks)) == b) for b in range(blocks)]
+        return functools.reduce(DataFrame.unionAll, [_cosine_block(vectors, key, vector, p, query, query_vector, k) for p in parts])
+    return _cosine_block(vectors, key, vector, queries, query, query_vector, k)
+
+
+def _cosine_block(vectors: DataFrame, key: str, vector: str, queries: DataFrame, query: str, query_vector: str, k: int) -> DataFrame:
     unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))))
     held = queries.select(F.collect_list(F.struct(F.col(query).alias("q"), unit(F.col(query_vector)).alias("qv")))).scalar()
     rows = vectors.select(key, unit(F.col(vector)).alias("v")).select(key, "v", F.explode(held).alias("x"))
@@ -244,6 +327,27 @@ def valid_citation(citation: Column, retrieved: Column) -> Column:
     )
 
 
+def answer_segments(response: Column) -> Column:
+    """The answer as an array of (kind, value): texts between citation tags and the tags' labels, in order; empty texts are
+    left out. A null answer has none."""
+    tag = r"\[Source:\s*[^\]]+\]"
+    texts, tags = F.split(C.or_empty(response), tag), F.regexp_extract_all(C.or_empty(response), F.lit(tag), F.lit(0))
+    label = F.transform(tags, lambda t: F.struct(F.lit("citation").alias("kind"), F.regexp_replace(t, r"\[Source:\s*|\s*\]", "").alias("value")))
+    text = F.transform(texts, lambda t: F.struct(F.lit("text").alias("kind"), t.alias("value")))
+    woven = F.flatten(F.zip_with(text, label, lambda t, c: F.array_compact(F.array(t, c))))
+    return F.filter(woven, lambda x: (x["kind"] == "citation") | (x["value"] != ""))
+
+
+def corpus_stats(chunks: DataFrame) -> DataFrame:
+    """One row: chunks, their files, mean length of the contents; 0, 0 and null for an empty table."""
+    return chunks.agg(F.count(F.lit(1)).alias("n_chunks"), F.count_distinct("file_path").alias("n_files"), F.round(F.avg(F.length("content")), 4).alias("avg_length"))
+
+
+def recent(runs: DataFrame, order: str, n: int = 10) -> DataFrame:
+    """The last n runs; the limit is applied before anything is shuffled."""
+    return runs.orderBy(F.desc(order)).limit(n)
+
+
 def uncited_paragraphs(response: Column) -> Column:
     paragraphs = F.transform(F.split(C.or_empty(response), "\n\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", ""))
     return F.size(F.filter(paragraphs, lambda p: (F.length(p) > 40) & ~p.startswith("#") & ~p.rlike(C.CITATION))).cast("bigint")

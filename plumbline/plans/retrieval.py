@@ -31,9 +31,15 @@ rs AS (SELECT item_id, chunk_id, expected, function_name, round(0.30::DOUBLE * g
 rr AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS rank FROM rs QUALIFY rank <= 3)"""
 
 
-def _docs(spark, folder):
-    k = chunks(spark, folder)
-    return k.select("chunk_id", X.document_text(F.col("file_path"), F.col("function_name"), F.col("docstring"), F.col("content")).alias("text"), "content", "function_name", "docstring")
+_HELD: dict[tuple[str, str], X.Corpus] = {}
+
+
+def _corpus(spark, folder) -> X.Corpus:
+    """The corpus of a folder, indexed once in a session: all searches read the same tables."""
+    key = spark.sparkContext.applicationId, folder
+    if key not in _HELD:
+        _HELD[key] = X.Corpus(table(spark, folder, "code_chunks"), unicode=False)
+    return _HELD[key]
 
 
 def _queries(spark, folder):
@@ -41,27 +47,23 @@ def _queries(spark, folder):
 
 
 def _index(spark, folder):
-    return X.Index(_docs(spark, folder).select("chunk_id", "text"), "chunk_id", "text", unicode=False)
+    return _corpus(spark, folder).index
 
 
 def _dense(spark, folder, k=10):
-    index, q = _index(spark, folder), _queries(spark, folder)
-    return X.dense_top(index.vectors, index.query_vectors(q, "item_id", "query"), index.docs, q, "chunk_id", "item_id", k)
+    return _corpus(spark, folder).dense(_queries(spark, folder), "item_id", "query", k)
 
 
 def _sparse(spark, folder, k=10):
-    terms = X.query_terms(_queries(spark, folder), "item_id", "query", unicode=False)
-    return X.top(X.overlap_scores(_docs(spark, folder), terms, "chunk_id", "content", "item_id"), "item_id", "chunk_id", k)
+    return _corpus(spark, folder).sparse(_queries(spark, folder), "item_id", "query", k)
 
 
 def _hybrid(spark, folder):
-    return X.hybrid_top(_dense(spark, folder), _sparse(spark, folder), "item_id", "chunk_id", 5)
+    return _corpus(spark, folder).hybrid(_queries(spark, folder), "item_id", "query", 5)
 
 
 def _reranked(spark, folder):
-    rows = _hybrid(spark, folder).select("item_id", "chunk_id", F.col("score").alias("initial")).join(_docs(spark, folder), "chunk_id").join(F.broadcast(_queries(spark, folder)), "item_id")
-    scored = rows.withColumn("score", X.feature_score(F.col("initial"), F.col("query"), F.col("function_name"), F.col("docstring"), F.col("content"), unicode=False))
-    return X.top(scored.select("item_id", "chunk_id", "expected", "function_name", "score"), "item_id", "chunk_id", 3)
+    return _corpus(spark, folder).reranked(_queries(spark, folder), "item_id", "query")
 
 
 @query("tokenize", "SELECT doc_id, len(regexp_extract_all(lower(coalesce(text, '')), '[a-zA-Z_][a-zA-Z0-9_]*')) AS n, md5(array_to_string(regexp_extract_all(lower(coalesce(text, '')), '[a-zA-Z_][a-zA-Z0-9_]*'), ' ')) AS digest FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g') AS text FROM documents)")
@@ -210,10 +212,15 @@ def _(spark, folder):
 _SEGMENT = "\\[Source:\\s*[^\\]]+\\]"
 
 
-@query("answer_segments", f"{_RUNS}, g AS (SELECT run_id, regexp_split_to_array(response, '{_SEGMENT}') AS parts, regexp_extract_all(response, '{_SEGMENT}') AS tags FROM r) SELECT run_id, len(parts) + len(tags) AS n_segments, array_to_string(list_transform(tags, lambda t: regexp_replace(t, '\\[Source:\\s*|\\s*\\]', '', 'g')), ';') AS labels FROM g")
+@query(
+    "answer_segments",
+    f"""{_RUNS}, g AS (SELECT run_id, regexp_split_to_array(response, '{_SEGMENT}') AS parts, regexp_extract_all(response, '{_SEGMENT}') AS tags FROM r),
+    t AS (SELECT run_id, unnest(parts) AS value, unnest(range(len(parts))) AS i FROM g), c AS (SELECT run_id, regexp_replace(unnest(tags), '\\[Source:\\s*|\\s*\\]', '', 'g') AS value, unnest(range(len(tags))) AS i FROM g),
+    u AS (SELECT run_id, 'text' AS kind, value, 2 * i AS o FROM t WHERE value <> '' UNION ALL SELECT run_id, 'citation', value, 2 * i + 1 FROM c) SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY o) - 1 AS place, kind, value FROM u""",
+)
 def _(spark, folder):
-    parts, tags = F.split("response", _SEGMENT), F.regexp_extract_all("response", F.lit(_SEGMENT), F.lit(0))
-    return _runs(spark, folder).select("run_id", (F.size(parts) + F.size(tags)).cast("bigint").alias("n_segments"), F.array_join(F.transform(tags, lambda t: F.regexp_replace(t, r"\[Source:\s*|\s*\]", "")), ";").alias("labels"))
+    rows = _runs(spark, folder).select("run_id", F.posexplode(X.answer_segments(F.col("response"))).alias("place", "s"))
+    return rows.select("run_id", F.col("place").cast("bigint").alias("place"), "s.kind", "s.value")
 
 
 _DOC = "concat_ws(' ', coalesce(c.path, ''), coalesce(c.function, ''), coalesce(c.docstring, ''), coalesce(c.content, ''))"
@@ -243,16 +250,23 @@ def _(spark, folder):
     return X.benchmark(X.run_metrics(_runs(spark, folder), ["run_id"], unicode=False, places=6))
 
 
-@query("fallback_answer", f"{_RUNS} SELECT run_id, len(retrieved) AS n, 'The implementation in `' || retrieved[1].path || '` was read for its contract. ' || {_TAG1} AS last_line FROM r")
+_TAGC = "'[Source: ' || c.path || ':' || c.first || '-' || c.last || ' | ID: ' || c.chunk_id || ']'"
+_FALLBACK = f"""'### Findings' || chr(10) || chr(10) || array_to_string(list_transform(retrieved, lambda c: '- Extracted ' || CASE WHEN coalesce(c.function, '') <> '' THEN 'function `' || c.function || '`' ELSE 'code block in `' || c.path || '`' END || CASE WHEN coalesce(c.docstring, '') <> '' THEN ' with docstring ' || chr(39) || c.docstring || chr(39) ELSE '' END
+|| ' across lines ' || c.first || '-' || c.last || '. ' || {_TAGC}), chr(10)) || chr(10) || chr(10) || 'The implementation in `' || retrieved[1].path || '` was read for its contract. ' || {_TAG1}"""
+
+
+@query("fallback_answer", f"{_RUNS} SELECT run_id, {_FALLBACK} AS answer FROM r")
 def _(spark, folder):
-    answer = X.fallback_answer(F.col("retrieved"))
-    return _runs(spark, folder).select("run_id", F.size("retrieved").cast("bigint").alias("n"), F.element_at(F.split(answer, "\n"), -1).alias("last_line"))
+    return _runs(spark, folder).select("run_id", X.fallback_answer(F.col("retrieved")).alias("answer"))
 
 
-@query("context_prompt", f"{_RUNS} SELECT run_id, len(retrieved) AS n_blocks, sum(0)::BIGINT AS zero FROM r GROUP BY ALL")
+@query(
+    "context_prompt",
+    f"""{_RUNS} SELECT run_id, 'Answer from the context only and end every statement with its citation tag.' || chr(10) || chr(10) || 'CONTEXT:' || chr(10) || array_to_string(list_transform(retrieved, lambda c, i: '--- CHUNK ' || i || ' --- ' || {_TAGC} || chr(10) || 'File: ' || c.path || ' (Lines ' || c.first || '-' || c.last || ')' || chr(10)
+    || CASE WHEN coalesce(c.function, '') <> '' THEN 'Function: ' || c.function || chr(10) ELSE '' END || CASE WHEN coalesce(c.docstring, '') <> '' THEN 'Docstring: ' || c.docstring || chr(10) ELSE '' END || 'Code:' || chr(10) || '```python' || chr(10) || c.content || chr(10) || '```'), chr(10) || chr(10)) || chr(10) || chr(10) || 'QUERY:' || chr(10) || query AS prompt FROM r""",
+)
 def _(spark, folder):
-    prompt = X.context_prompt(F.col("query"), F.col("retrieved"))
-    return _runs(spark, folder).select("run_id", (F.size(F.regexp_extract_all(prompt, F.lit(r"(?m)^--- CHUNK \d+ --- \[Source: "), F.lit(0)))).cast("bigint").alias("n_blocks"), F.lit(0).cast("bigint").alias("zero"))
+    return _runs(spark, folder).select("run_id", X.context_prompt(F.col("query"), F.col("retrieved")).alias("prompt"))
 
 
 @query(
@@ -260,17 +274,17 @@ def _(spark, folder):
     f"""{WITH} SELECT count(*) AS n_chunks, count(DISTINCT file_path) AS n_files, round(avg(length(content)), 4) AS avg_length FROM k""",
 )
 def _(spark, folder):
-    return chunks(spark, folder).agg(F.count(F.lit(1)).alias("n_chunks"), F.count_distinct("file_path").alias("n_files"), F.round(F.avg(F.length("content")), 4).alias("avg_length"))
+    return X.corpus_stats(chunks(spark, folder))
+
+
+_ANSWERED = f"""{_Q}, {_TF}, {_IDF}, {_VEC}, {_QVEC}, {_DENSE}, {_QWORDS}, {_SPARSE}, {_HYBRID}, {_RERANK}, s AS (SELECT chunk_id, file_path AS path, start_line AS first, end_line AS last, function_name AS function, docstring, content FROM k),
+ra AS (SELECT item_id AS run_id, list(s ORDER BY rr.rank) AS retrieved FROM rr JOIN s ON s.chunk_id = rr.chunk_id GROUP BY 1), r AS (SELECT run_id, query, {_FALLBACK} AS response, expected AS ground_truth, retrieved FROM ra JOIN q ON q.item_id = ra.run_id)"""
 
 
-@query("rag_answers")
+@query("rag_answers", f"{_ANSWERED}, {_STATS}, {_PARTS} SELECT run_id AS item_id, grounding_ratio, citation_compliance, retrieval_hit_rate, query_term_echo, ground_truth_coverage, composite FROM mx")
 def _(spark, folder):
     """The whole way of a query: hybrid search, rerank, fallback answer, citation check, metrics."""
-    best = _reranked(spark, folder).select("item_id", "chunk_id", "rank")
-    k = chunks(spark, folder).select("chunk_id", X.chunk_struct().alias("c"))
-    held = best.join(k, "chunk_id").groupBy("item_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "c"))), lambda x: x["c"]).alias("retrieved"))
-    runs = held.join(F.broadcast(_queries(spark, folder)), "item_id").select("item_id", "query", X.fallback_answer(F.col("retrieved")).alias("response"), "retrieved", F.col("expected").alias("ground_truth"))
-    return X.run_metrics(runs, ["item_id"])
+    return X.run_metrics(_corpus(spark, folder).answered(_queries(spark, folder), "item_id", "query", "expected"), ["item_id"], unicode=False, places=6)
 
 
 @query(
@@ -283,4 +297,4 @@ def _(spark, folder):
 
 @query("recent_runs", f"{_RUNS}, {_STATS}, {_PARTS} SELECT run_id, composite FROM mx ORDER BY run_id DESC LIMIT 10")
 def _(spark, folder):
-    return X.run_metrics(_runs(spark, folder), ["run_id"], unicode=False, places=6).select("run_id", "composite").orderBy(F.desc("run_id")).limit(10)
+    return X.run_metrics(_runs(spark, folder), ["run_id"], unicode=False, places=6).select("run_id", "composite").transform(X.recent, "run_id")
