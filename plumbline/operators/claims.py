@@ -1,11 +1,13 @@
 """Claims mined from documentation and from syntax trees.
 
 The 47 patterns are literal expressions on one column (each compiled once per task), their matches one array per
-pattern; one explode of the concatenated arrays turns them into rows. No join with a pattern relation, no Python.
+pattern; one explode of these arrays turns them into rows, and what a claim says is put together from the rows. No join
+with a pattern relation, no Python.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,39 +16,22 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import or_empty, stripped
 from plumbline.functions.patterns import PATTERNS, TRIGGERS, Pattern, group_number, java
 
-_ITEM = "array<struct<pattern_no:int,category:string,subject:string,predicate_object:string,conditionality:string,match_no:int,raw_text:string>>"
+_TEXTS = "array<string>"
 
 
-def _matches(text: Column, p: Pattern, unicode: bool) -> Column:
-    """The matches of one pattern as an array of structs."""
+def _matches(text: Column, low: Column, p: Pattern, unicode: bool) -> Column:
+    """(no, hits): the matches of one pattern with their groups; hits is null where there are none."""
     regex = F.lit(java(p.regex, unicode))
-    whole = F.regexp_extract_all(text, regex, F.lit(0))
 
     def group(name: str) -> Column:
         n = group_number(p.regex, name)
-        return F.regexp_extract_all(text, regex, F.lit(n)) if n else F.transform(whole, lambda _: F.lit(""))
-
-    rows = F.arrays_zip(whole.alias("raw"), group("subject").alias("subject"), group("object").alias("object"), group("condition").alias("condition"))
-    title = p.name.replace("_", " ")
-
-    def one(m: Column, i: Column) -> Column:
-        obj, subject, condition = (stripped(F.coalesce(m[k], F.lit(""))) for k in ("object", "subject", "condition"))
-        said = F.when(obj != "", F.concat(F.lit(title + ": "), obj)).when(subject != "", F.concat(F.lit(title + ": "), subject)).otherwise(F.lit(title))
-        bare = F.regexp_replace(condition, r"\.+$", "")
-        return F.struct(
-            F.lit(p.number).alias("pattern_no"), F.lit(p.category).alias("category"), F.when(subject != "", subject).otherwise("return").alias("subject"), said.alias("predicate_object"),
-            F.when(bare != "", bare).alias("conditionality"), i.cast("int").alias("match_no"), stripped(m["raw"]).alias("raw_text"),
-        )
-
-    found = F.transform(rows, one)
-    if p.must:
-        found = F.filter(found, lambda m: F.lower(m["raw_text"]).rlike(r"\bmust\b"))
-    found = F.filter(found, lambda m: m["raw_text"] != "").cast(_ITEM)
+        return (F.regexp_extract_all(text, regex, F.lit(n)) if n else F.array().cast(_TEXTS)).alias(name)
+
+    hits = F.arrays_zip(F.regexp_extract_all(text, regex, F.lit(0)).alias("raw"), group("subject"), group("object"), group("condition"))
     # most patterns miss most texts: a plain search for their word comes before the expression, and the groups are only
-    # taken where there is a match (the long s and the Kelvin sign fold onto letters in the expression, so here too)
-    low = F.translate(F.lower(text), "\u017f", "s")
+    # taken where there is a match
     held = reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in TRIGGERS[p.number]])
-    return F.when(held & F.regexp_like(text, regex), found).otherwise(F.array().cast(_ITEM))
+    return F.struct(F.lit(p.number).alias("no"), F.when(held & F.regexp_like(text, regex), hits).alias("hits"))
 
 
 def documentation_claims(functions: DataFrame, key: str, docstring: str = "docstring", categories: tuple[str, ...] | None = None, unicode: bool = True) -> DataFrame:
@@ -54,14 +39,30 @@ def documentation_claims(functions: DataFrame, key: str, docstring: str = "docst
 
     Functions without documentation give no rows. The verbs' parts of speech are not checked: a documented superset.
     """
-    text = F.col(docstring)
-    kept = functions.filter(or_empty(text) != "")
-    arrays = [_matches(text, p, unicode) for p in PATTERNS if categories is None or p.category in categories]
-    every = F.concat(*arrays) if len(arrays) > 1 else arrays[0]
+    patterns = [p for p in PATTERNS if categories is None or p.category in categories]
+    # the lower case is made once per text, for all patterns (the long s folds onto a letter in the expressions, so here too)
+    kept = functions.filter(or_empty(F.col(docstring)) != "").select(F.col(key), F.col(docstring).alias("_text"), F.translate(F.lower(docstring), "\u017f", "s").alias("_low"))
+    every = F.array(*[_matches(F.col("_text"), F.col("_low"), p, unicode) for p in patterns])
     # the array is a column of its own and exploded as "outer": otherwise it would be computed again for every field that
     # is read, and once more by the filter on its size that an inner explode brings
-    rows = kept.select(F.col(key), every.alias("_all")).select(key, F.explode_outer("_all").alias("m"))
-    return rows.filter("m is not null").select(key, "m.*")
+    found = kept.select(F.col(key), every.alias("_all")).select(key, F.explode_outer("_all").alias("m")).filter("m.hits is not null")
+    rows = found.select(key, F.col("m.no").alias("pattern_no"), F.posexplode("m.hits").alias("match_no", "m"))
+
+    # what is said is put together once for all patterns, from the rows: the plan stays small
+    def by_pattern(value: Callable[[Pattern], object]) -> Column:
+        return F.element_at(F.array(*[F.lit(value(p)) for p in PATTERNS]), F.col("pattern_no"))
+
+    read = rows.select(
+        key, "pattern_no", "match_no", by_pattern(lambda p: p.category).alias("category"), by_pattern(lambda p: p.name.replace("_", " ")).alias("title"), stripped(F.col("m.raw")).alias("raw_text"),
+        *[stripped(or_empty(F.col(f"m.{k}"))).alias(f"_{k}") for k in ("subject", "object", "condition")],
+    )
+    must = [p.number for p in patterns if p.must]
+    kept_rows = read.filter((F.col("raw_text") != "") & (~F.col("pattern_no").isin(must) | F.lower("raw_text").rlike(r"\bmust\b")) if must else F.col("raw_text") != "")
+    said = F.when(F.col("_object") != "", F.concat_ws(": ", "title", "_object")).when(F.col("_subject") != "", F.concat_ws(": ", "title", "_subject")).otherwise(F.col("title"))
+    bare = F.regexp_replace("_condition", r"\.+$", "")
+    return kept_rows.select(
+        key, "pattern_no", "category", F.when(F.col("_subject") != "", F.col("_subject")).otherwise("return").alias("subject"), said.alias("predicate_object"), F.when(bare != "", bare).alias("conditionality"), "match_no", "raw_text",
+    )
 
 
 def syntax_claims(functions: DataFrame, key: str) -> DataFrame:

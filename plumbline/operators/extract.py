@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from plumbline import schema
 from plumbline.functions import codetext, pysource
+from plumbline.operators.reports import counted_functions
 
 
 class Registry:
@@ -129,4 +130,11 @@ def function_counts(df: DataFrame, key: str, source: str, language: str) -> Data
     return rows_from(python, [key], [source], "n bigint", lambda s: [{"n": pysource.count_functions(s or "")}])
 
 
+def all_function_counts(df: DataFrame, key: str, source: str, language: str) -> DataFrame:
+    """(key, n): functions of every text: Python's on the syntax tree, at any depth, so that a def in a string is none;
+    those of other languages, and of texts without one, by the line heuristic."""
+    other = df.filter(~F.col(language).eqNullSafe("python")).select(key, counted_functions(F.col(source), F.col(language)).alias("n"))
+    return function_counts(df, key, source, language).union(other)
+
+
 LANGUAGES = tuple(dict.fromkeys(schema.LANGUAGES.values()))

@@ -41,6 +41,16 @@ def claim_nodes(functions: DataFrame, claims: DataFrame, violations: DataFrame)
     return nodes, edges
 
 
+def nodes_with_claims(nodes: DataFrame, functions: DataFrame, claims: DataFrame) -> DataFrame:
+    """(analysis_id, node, name, n_claims): function and method nodes of the files with the claims of the model's functions
+    of that name in the same analysis; 0 where there is none. nodes: (analysis_id, node, type, name). Claims are summed
+    by function and name before they meet the nodes, so the join does not multiply."""
+    per = claims.groupBy(F.col("function_id").alias("id")).agg(F.count(F.lit(1)).alias("n_claims"))
+    named = functions.select("id", "analysis_id", "name").join(per, "id", "left").groupBy("analysis_id", "name").agg(F.sum("n_claims").alias("n_claims"))
+    own = nodes.filter("type in ('function', 'method')").select("analysis_id", "node", "name")
+    return own.join(named, ["analysis_id", "name"], "left").select("analysis_id", "node", "name", F.coalesce("n_claims", F.lit(0)).alias("n_claims"))
+
+
 def numbered(df: DataFrame, order: str, name: str = "place", parts: int = 64) -> DataFrame:
     """df with a global number from 0 in the order of a column, without a single task that sees all rows: ranges are sorted
     apart, and each adds the counts of the ranges before it. Values of the column are distinct."""

@@ -34,6 +34,12 @@ def batch_verdicts(files: DataFrame, batch: str) -> DataFrame:
     return sums.withColumn("verdict", F.when(F.col("admitted") > 0, 202).otherwise(422))
 
 
+def upload_mode(filename: Column, source: Column) -> Column:
+    """What an upload is: 'archive', 'file', 'paste' (text without a supported name) or 'nothing'."""
+    name = C.or_empty(filename)
+    return F.when(F.endswith(F.lower(name), F.lit(".zip")), "archive").when(C.is_supported(name), "file").when(~C.is_blank(source), "paste").otherwise("nothing")
+
+
 def line_blocks(files: DataFrame, path: str, text: str, size: int = 25, overlap: int = 5) -> DataFrame:
     """(path, start_line, end_line, chunk_id, content): blocks of `size` lines that overlap by `overlap`; none for empty
     texts. A null text is empty. Blocks are sliced within the row; nothing is shuffled."""

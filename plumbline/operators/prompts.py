@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import columns as C
+from plumbline.operators.extract import Registry
 
 #: What a test must show, by category; a parameter of the operators, here with a wording of our own.
 GUIDANCE = {
@@ -25,6 +27,10 @@ TEMPERATURE = 0.1
 _SCHEMA = '{"type":"object","properties":{"test_code":{"type":"string"},"test_name":{"type":"string"}},"required":["test_code","test_name"]}'
 
 
+#: Model calls by name, registered by the user of the library: call(system, user, temperature) -> answer.
+PROVIDERS = Registry("provider")
+
+
 def guidance(category: Column, texts: dict[str, str] = GUIDANCE) -> Column:
     return F.element_at(F.create_map(*[F.lit(x) for kv in texts.items() for x in kv]), category)
 
@@ -56,22 +62,35 @@ def code_block(text: Column) -> Column:
     return F.when(F.regexp_like(text, F.lit(pattern)), F.regexp_extract(text, pattern, 1)).otherwise(text)
 
 
-def answers(prompts: DataFrame, call: Callable[[str, str, float], str], retries: int = 5) -> DataFrame:
-    """prompts plus (answer): `call(system, user, temperature)` for each row in batches on the executors, tried again up
-    to `retries` times; null where all tries failed. `call` must be importable on the executors."""
+def retried(call: Callable[[], object], tries: int, wait: float, factor: float = 2.0, sleep: Callable[[float], None] = time.sleep):
+    """What `call` returns, tried up to `tries` times with pauses of wait, wait * factor, ... seconds between; the last
+    error is raised."""
+    for k in range(tries):
+        try:
+            return call()
+        except Exception:
+            if k + 1 >= tries:
+                raise
+            sleep(wait * factor**k)
+    raise ValueError("at least one try")
+
+
+def answers(prompts: DataFrame, call: Callable[[str, str, float], str], retries: int = 5, wait: float = 10.0, pause: float = 0.0) -> DataFrame:
+    """prompts plus (answer): `call(system, user, temperature)` for each row in batches on the executors, tried up to
+    `retries` times with pauses that start at `wait` seconds and double; null where all tries failed. `pause` seconds pass
+    before each row's first call. `call` must be importable on the executors. A provider is a
+    function; see PROVIDERS for registering several by name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[str | None] = []
             for s, u, t in zip(*[b.column(c).to_pylist() for c in ("system", "user", "temperature")]):
-                answer = None
-                for _ in range(retries):
-                    try:
-                        answer = call(s, u, t)
-                        break
-                    except Exception:
-                        continue
-                out.append(answer)
+                if pause:
+                    time.sleep(pause)
+                try:
+                    out.append(retried(lambda: call(s, u, t), retries, wait))  # noqa: B023
+                except Exception:
+                    out.append(None)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], names=[*b.schema.names, "answer"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields)

@@ -153,14 +153,16 @@ def function_health(functions: DataFrame, claims: DataFrame, violations: DataFra
     return sums.withColumn("health_score", score.cast("bigint"))
 
 
-def analysis_health(analyses: DataFrame, functions: DataFrame, claims: DataFrame, violations: DataFrame, counted: Column) -> DataFrame:
-    """Per analysis: coverage, density, violation rate and the overall score. `counted`: functions of the whole source."""
+def analysis_health(analyses: DataFrame, functions: DataFrame, claims: DataFrame, violations: DataFrame, counts: DataFrame) -> DataFrame:
+    """Per analysis: coverage, density, violation rate and the overall score. counts: (id, n), the functions of each whole
+    source, see extract.all_function_counts(); 1 where it has none for an analysis."""
     c = claims.groupBy("function_id").agg(F.count(F.lit(1)).alias("n_claims"))
     fails = violations.filter("outcome = 'fail'").select("claim_id")
     v = claims.select(F.col("id").alias("claim_id"), "function_id").join(fails, "claim_id", "left_semi").groupBy("function_id").agg(F.count(F.lit(1)).alias("n_fail"))
     f = functions.select(F.col("id").alias("function_id"), "analysis_id").join(c, "function_id", "left").join(v, "function_id", "left")
     sums = f.groupBy("analysis_id").agg(F.count(F.lit(1)).alias("documented"), F.coalesce(F.sum("n_claims"), F.lit(0)).alias("claims"), F.coalesce(F.sum("n_fail"), F.lit(0)).alias("violations"))
-    joined = analyses.select(F.col("id").alias("analysis_id"), counted.cast("bigint").alias("counted")).join(sums, "analysis_id", "left").na.fill(0, ["documented", "claims", "violations"])
+    counted = counts.select(F.col("id").alias("analysis_id"), F.col("n").cast("bigint").alias("counted"))
+    joined = analyses.select(F.col("id").alias("analysis_id")).join(counted, "analysis_id", "left").na.fill(1, ["counted"]).join(sums, "analysis_id", "left").na.fill(0, ["documented", "claims", "violations"])
     rows = joined.select("analysis_id", "documented", F.greatest("counted", "documented").alias("functions"), "claims", "violations")
     coverage, density, rate = C.ratio(F.col("documented"), F.col("functions")), C.ratio(F.col("claims"), F.col("documented")), C.ratio(F.col("violations"), F.col("claims"))
     score = F.floor(F.round(F.lit(0.4) * coverage * 100 + F.lit(0.3) * F.least(density / 3, F.lit(1.0)) * 100 + F.lit(0.3) * (1 - rate) * 100, 9))
@@ -180,6 +182,12 @@ def counted_functions(source: Column, language: Column) -> Column:
 # -- client-side summaries -------------------------------------------------------------------------------------------
 
 
+def signature_parts(signature: Column) -> tuple[Column, Column, Column]:
+    """(what stands before the brackets, the brackets, the type behind an arrow) of a signature; empty where it has none."""
+    shape = r"^([^(]+)(\([^)]*\))(.*)$"
+    return F.regexp_extract(signature, shape, 1), F.regexp_extract(signature, shape, 2), F.regexp_extract(F.regexp_extract(signature, shape, 3), r"^\s*->\s*(.+)$", 1)
+
+
 def per_function_results(functions: DataFrame, claims: DataFrame, failures: DataFrame) -> DataFrame:
     """Per function of each analysis: claims, failures, passes and status. failures: (function_id), one row each."""
     c = claims.groupBy("function_id").agg(F.count(F.lit(1)).alias("n_claims"))

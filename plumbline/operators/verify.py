@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,15 +123,24 @@ def read_cargo(output: str | None) -> list[dict]:
     return [{"nodeid": m.group(1), "outcome": kinds[m.group(2)], "traceback": blocks.get(m.group(1)) if m.group(2) == "FAILED" else None, "duration": 0.0} for m in re.finditer(r"(?m)^test (\S+)(?: - should panic)? \.\.\. (ok|FAILED|ignored)", text)]
 
 
+def text_reader(read: Callable[[str | None], list[dict]]) -> Callable[[DataFrame, str, str], DataFrame]:
+    """A log reader (logs, key, log) from a function that reads one run's output."""
+    return lambda logs, key, log: rows_from(logs, [key], [log], RESULT, lambda text: [{"stdout": "", "stderr": "", **r} for r in read(text)])
+
+
+#: Readers (logs, key, log) -> rows with (key, nodeid, outcome, traceback, duration, ...) by language.
 LOGS = Registry("log reader")
-LOGS.register("java", read_junit)
-LOGS.register("rust", read_cargo)
+LOGS.register("python", pytest_results)
+LOGS.register("javascript", nested_results)
+LOGS.register("typescript", nested_results)
+LOGS.register("go", go_events)
+LOGS.register("java", text_reader(read_junit))
+LOGS.register("rust", text_reader(read_cargo))
 
 
 def text_results(logs: DataFrame, key: str, log: str, language: str) -> DataFrame:
-    """(key, the columns of RESULT) from text logs of a registered language."""
-    reader = LOGS.require(language)
-    return rows_from(logs, [key], [log], RESULT, lambda text: [{"stdout": "", "stderr": "", **r} for r in reader(text)])
+    """The results in the logs of a registered language; an unknown language is an error that names the known ones."""
+    return LOGS.require(language)(logs, key, log)
 
 
 # -- answers of the model ----------------------------------------------------------------------------------------------

@@ -69,7 +69,5 @@ def _(spark, folder):
 def _(spark, folder):
     """Nodes of the files by name with the functions of the model that bear it: how many claims hang on each."""
     m = model(spark, folder)
-    nodes = extract.graph_nodes(_files(spark, folder), "id", "source_code", "language").filter("type in ('function', 'method')")
-    claims = m.claims.groupBy(F.col("function_id").alias("id")).agg(F.count(F.lit(1)).alias("n_claims"))
-    named = m.functions.select("id", "analysis_id", "name").join(claims, "id", "left").groupBy("analysis_id", "name").agg(F.sum("n_claims").alias("n_claims"))
-    return nodes.withColumnRenamed("id", "analysis_id").join(named, ["analysis_id", "name"], "left").select("analysis_id", "node", "name", F.coalesce("n_claims", F.lit(0)).alias("n_claims"))
+    nodes = extract.graph_nodes(_files(spark, folder), "id", "source_code", "language").withColumnRenamed("id", "analysis_id")
+    return graph.nodes_with_claims(nodes, m.functions, m.claims)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline import schema
 from plumbline.functions import columns as C
+from plumbline.operators import extract
 from plumbline.operators import reports as R
 from plumbline.plans.catalogue import query
 from plumbline.plans.common import WITH, case_map, model
@@ -211,6 +212,15 @@ _COUNTED = """greatest(len(list_filter(string_split(source_code, chr(10)), lambd
 OR (language IN ('javascript', 'typescript') AND (contains(trim(x), 'function ') OR contains(trim(x), '=>'))))), 1)"""
 
 
+# Python: lines that begin a def, after all strings of three quotes are taken out
+_TREE = f"""CASE WHEN language = 'python' THEN len(regexp_extract_all(regexp_replace(source_code, '\"\"\"[\\s\\S]*?\"\"\"', '', 'g'), '(?m)^[ \\t]*(?:async[ \\t]+)?def[ \\t]+\\w+[ \\t]*\\(')) ELSE {_COUNTED} END"""
+
+
+@query("function_counts", f"{WITH} SELECT id, {_TREE} AS n FROM a")
+def _(spark, folder):
+    return extract.all_function_counts(model(spark, folder).analyses, "id", "source_code", "language")
+
+
 @query("function_count_heuristic", f"{WITH} SELECT id, {_COUNTED} AS n FROM a")
 def _(spark, folder):
     return model(spark, folder).analyses.select("id", R.counted_functions(F.col("source_code"), F.col("language")).alias("n"))
@@ -219,14 +229,14 @@ def _(spark, folder):
 @query(
     "doc_health_overall",
     f"""{WITH}, s AS (SELECT f.analysis_id, count(DISTINCT f.id) AS documented, count(DISTINCT c.id) AS claims, count(DISTINCT c.id) FILTER (v.outcome = 'fail') AS violations FROM f LEFT JOIN c ON c.function_id = f.id LEFT JOIN v ON v.claim_id = c.id GROUP BY 1),
-    t AS (SELECT a.id AS analysis_id, coalesce(documented, 0) AS documented, greatest({_COUNTED}, coalesce(documented, 0)) AS functions, coalesce(claims, 0) AS claims, coalesce(violations, 0) AS violations FROM a LEFT JOIN s ON s.analysis_id = a.id),
-    q AS (SELECT *, documented / functions AS cov, CASE WHEN documented > 0 THEN claims / documented ELSE 0 END AS den, CASE WHEN claims > 0 THEN violations / claims ELSE 0 END AS vr FROM t)
+    t AS (SELECT a.id AS analysis_id, coalesce(documented, 0) AS documented, greatest({_TREE}, coalesce(documented, 0)) AS functions, coalesce(claims, 0) AS claims, coalesce(violations, 0) AS violations FROM a LEFT JOIN s ON s.analysis_id = a.id),
+    q AS (SELECT *, CASE WHEN functions > 0 THEN documented / functions ELSE 0 END AS cov, CASE WHEN documented > 0 THEN claims / documented ELSE 0 END AS den, CASE WHEN claims > 0 THEN violations / claims ELSE 0 END AS vr FROM t)
     SELECT analysis_id, documented, functions, claims, violations, round(cov, 6) AS coverage, round(den, 6) AS density, round(vr, 6) AS violation_rate,
-    floor(round(0.4::DOUBLE * cov * 100 + 0.3::DOUBLE * least(den / 3, 1) * 100 + 0.3::DOUBLE * (1 - vr) * 100, 9))::BIGINT AS health FROM q""",
+    CASE WHEN functions = 0 THEN 0 ELSE floor(round(0.4::DOUBLE * cov * 100 + 0.3::DOUBLE * least(den / 3, 1) * 100 + 0.3::DOUBLE * (1 - vr) * 100, 9))::BIGINT END AS health FROM q""",
 )
 def _(spark, folder):
     m = model(spark, folder)
-    return R.analysis_health(m.analyses, m.functions, m.claims, m.violations, R.counted_functions(F.col("source_code"), F.col("language")))
+    return R.analysis_health(m.analyses, m.functions, m.claims, m.violations, extract.all_function_counts(m.analyses, "id", "source_code", "language"))
 
 
 @query(
@@ -300,9 +310,8 @@ def _(spark, folder):
     regexp_extract(regexp_extract(signature, '^([^(]+)(\\([^)]*\\))(.*)$', 3), '^\\s*->\\s*(.+)$', 1) AS return_part FROM f""",
 )
 def _(spark, folder):
-    f = model(spark, folder).functions
-    whole = r"^([^(]+)(\([^)]*\))(.*)$"
-    return f.select("id", F.regexp_extract("signature", whole, 1).alias("name_part"), F.regexp_extract("signature", whole, 2).alias("params_part"), F.regexp_extract(F.regexp_extract("signature", whole, 3), r"^\s*->\s*(.+)$", 1).alias("return_part"))
+    parts = zip(R.signature_parts(F.col("signature")), ("name_part", "params_part", "return_part"))
+    return model(spark, folder).functions.select("id", *[c.alias(n) for c, n in parts])
 
 
 @query("batch_percentages", f"{WITH} SELECT json_extract_string(config, '$.batch_id') AS batch_id, round(100 * count(*) FILTER (status = 'complete') / count(*), 4) AS complete_percent FROM a GROUP BY 1 HAVING batch_id IS NOT NULL")

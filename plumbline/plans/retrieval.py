@@ -215,8 +215,8 @@ _SEGMENT = "\\[Source:\\s*[^\\]]+\\]"
 @query(
     "answer_segments",
     f"""{_RUNS}, g AS (SELECT run_id, regexp_split_to_array(response, '{_SEGMENT}') AS parts, regexp_extract_all(response, '{_SEGMENT}') AS tags FROM r),
-    t AS (SELECT run_id, unnest(parts) AS value, unnest(range(len(parts))) AS i FROM g), c AS (SELECT run_id, regexp_replace(unnest(tags), '\\[Source:\\s*|\\s*\\]', '', 'g') AS value, unnest(range(len(tags))) AS i FROM g),
-    u AS (SELECT run_id, 'text' AS kind, value, 2 * i AS o FROM t WHERE value <> '' UNION ALL SELECT run_id, 'citation', value, 2 * i + 1 FROM c) SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY o) - 1 AS place, kind, value FROM u""",
+    t AS (SELECT run_id, unnest(parts) AS value, unnest(range(len(parts))) AS i FROM g), tg AS (SELECT run_id, regexp_replace(unnest(tags), '\\[Source:\\s*|\\s*\\]', '', 'g') AS value, unnest(range(len(tags))) AS i FROM g),
+    sgm AS (SELECT run_id, 'text' AS kind, value, 2 * i AS o FROM t WHERE value <> '' UNION ALL SELECT run_id, 'citation', value, 2 * i + 1 FROM tg) SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY o) - 1 AS place, kind, value FROM sgm""",
 )
 def _(spark, folder):
     rows = _runs(spark, folder).select("run_id", F.posexplode(X.answer_segments(F.col("response"))).alias("place", "s"))

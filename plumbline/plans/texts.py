@@ -171,6 +171,4 @@ def _(spark, folder):
 
 @query("upload_mode", f"{WITH} SELECT id, CASE WHEN ends_with(lower(coalesce(filename, '')), '.zip') THEN 'archive' WHEN {_EXT} IN ({', '.join(repr(x) for x in schema.LANGUAGES)}) THEN 'file' WHEN regexp_matches(source_code, '\\S') THEN 'paste' ELSE 'nothing' END AS mode FROM a")
 def _(spark, folder):
-    name = C.or_empty(F.col("filename"))
-    mode = F.when(F.endswith(F.lower(name), F.lit(".zip")), "archive").when(C.is_supported(name), "file").when(~C.is_blank(F.col("source_code")), "paste").otherwise("nothing")
-    return model(spark, folder).analyses.select("id", mode.alias("mode"))
+    return model(spark, folder).analyses.select("id", ingest.upload_mode(F.col("filename"), F.col("source_code")).alias("mode"))

@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import itertools
 import os
 import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _serial = itertools.count()
+_scopes: list[list[tuple[SparkSession, str]]] = []
 
 
 def build_session(app: str = "plumbline", master: str | None = None, **conf: str) -> SparkSession:
@@ -70,16 +73,31 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """`df` written as Parquet to the shared folder and read again.
 
     Cuts the lineage, keeps columns prunable, survives the loss of any executor. The files are removed when this
-    process ends.
+    process ends, or the scope() in which they were written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/tables/{os.getpid()}-{next(_serial)}-{uuid.uuid4().hex[:8]}-{label}"
     schema = df.schema
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    if _scopes:
+        _scopes[-1].append((spark, path))
+    else:
+        atexit.register(_remove, spark, path)
     return spark.read.schema(schema).parquet(path)
 
 
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Intermediate tables that are written within this block are removed at its end and not only with the process: for
+    sessions that live long. Collect or write the results inside."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for spark, path in _scopes.pop():
+            _remove(spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

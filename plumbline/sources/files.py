@@ -38,6 +38,33 @@ def pasted(spark: SparkSession, source: str, language: str = "python") -> DataFr
     return spark.createDataFrame([(None, source, len(source.encode()), language, None)], "path string, source string, bytes bigint, language string, error string")
 
 
+#: A small module to try the retrieval and extraction with.
+SAMPLE = '''def merged(first: dict, second: dict) -> dict:
+    """Returns a new dict with the entries of both. Does not modify the first."""
+    return {**first, **second}
+
+
+def ratio(a: float, b: float) -> float:
+    """Returns a float. Raises ValueError if b is zero."""
+    if b == 0:
+        raise ValueError("b is zero")
+    return a / b
+
+
+def flat(nested: list) -> list:
+    """Returns a list of all items. Runs in O(n) time."""
+    out = []
+    for part in nested:
+        out.extend(part)
+    return out
+'''
+
+
+def sample(spark: SparkSession) -> DataFrame:
+    """The built-in sample as a source of one file."""
+    return in_memory(spark, {"sample.py": SAMPLE})
+
+
 def in_memory(spark: SparkSession, files: dict[str, str]) -> DataFrame:
     return spark.createDataFrame(list(files.items()), "path string, source string").select("path", "source", F.octet_length("source").cast("bigint").alias("bytes"), C.language_of(F.col("path")).alias("language"), F.lit(None).cast("string").alias("error"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +33,16 @@ def latest(log: DataFrame, key: str, status: str, time: str, tie: str) -> DataFr
     return rows.withColumn("completed_at", F.when(F.col("status").isin(*schema.TERMINAL), F.col("since")))
 
 
+def until_terminal(read: Callable[[], str | None], every: float = 2.0, limit: float | None = None, sleep: Callable[[float], None] = time.sleep) -> str | None:
+    """Polls `read` (which returns a status) every so many seconds until it is terminal; returns the last status read, also
+    when `limit` seconds have passed without a terminal one."""
+    waited = 0.0
+    while (status := read()) not in schema.TERMINAL and (limit is None or waited < limit):
+        sleep(every)
+        waited += every
+    return status
+
+
 def latest_stream(log: DataFrame, key: str, status: str, time: str, tie: str) -> DataFrame:
     """latest() over a stream; write it in update mode (a key's new status replaces its old one)."""
     return latest(log, key, status, time, tie)
