@@ -27,7 +27,7 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-_FAMILIES = ("reporting", "texts", "verification", "mining", "retrieval", "graphs", "states")
+_FAMILIES = ("reporting", "texts", "verification", "mining", "known", "retrieval", "graphs", "states")
 
 
 def _load() -> None:

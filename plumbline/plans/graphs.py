@@ -65,7 +65,11 @@ def _(spark, folder):
     return extract.graph_nodes(_files(spark, folder), "id", "source_code", "language")
 
 
-@query("code_graph_with_claims")
+@query(
+    "code_graph_with_claims",
+    f"""{WITH}, g AS (SELECT f.*, list_position(list_transform(string_split(source, chr(10)), lambda x: regexp_matches(x, '^(async )?def ')), true) AS i FROM f JOIN a ON a.id = f.analysis_id WHERE language = 'python'),
+    n AS (SELECT f.analysis_id, f.name, count(c.id) AS n_claims FROM f LEFT JOIN c ON c.function_id = f.id GROUP BY 1, 2) SELECT analysis_id, 'function:' || name || ':' || (lineno + i - 1) AS node, name, n_claims FROM g JOIN n USING (analysis_id, name)""",
+)
 def _(spark, folder):
     """Nodes of the files by name with the functions of the model that bear it: how many claims hang on each."""
     m = model(spark, folder)

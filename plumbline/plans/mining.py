@@ -98,12 +98,21 @@ def _files(spark, folder):
     return model(spark, folder).analyses.select("id", "filename", "source_code", "language")
 
 
-@query("python_functions")
+# The table of functions knows them too; its texts may begin with decorators, and those of CRLF files keep their ends.
+_DEFS = f"""{WITH}, g AS (SELECT f.*, string_split(replace(source, chr(13), ''), chr(10)) AS l FROM f JOIN a ON a.id = f.analysis_id WHERE language = 'python'), h AS (SELECT *, list_position(list_transform(l, lambda x: regexp_matches(x, '^(async )?def ')), true) AS i FROM g),
+y AS (SELECT id AS function_id, analysis_id AS id, name, (lineno + i - 1)::INT AS lineno, (lineno + len(l) - 1)::INT AS end_line, l[i:] AS body, return_annotation FROM h)"""
+
+
+@query("python_functions", f"{_DEFS} SELECT id, name, lineno, end_line, array_to_string(body, chr(10)) AS source, return_annotation FROM y")
 def _(spark, folder):
-    return extract.functions(_files(spark, folder).filter("language = 'python'"), "id", "source_code", "language")
+    return extract.functions(_files(spark, folder).filter("language = 'python'"), "id", "source_code", "language").select("id", "name", "lineno", "end_line", "source", "return_annotation")
 
 
-@query("python_raises")
+@query(
+    "python_raises",
+    f"""{_DEFS}, z AS (SELECT id, name, lineno, unnest(body) AS x, unnest(range(len(body))) AS j, unnest(list_prepend('', body)) AS above FROM y)
+    SELECT id, name, lineno, regexp_extract(x, '^\\s+raise (\\w+)', 1) AS exception_class, nullif(regexp_extract(above, '^\\s+if (.*):$', 1), '') AS condition, (lineno + j)::INT AS line FROM z WHERE regexp_matches(x, '^\\s+raise \\w+')""",
+)
 def _(spark, folder):
     rows = extract.functions(_files(spark, folder).filter("language = 'python'"), "id", "source_code", "language")
     return rows.select("id", "name", "lineno", F.explode("raise_statements").alias("r")).select("id", "name", "lineno", "r.exception_class", "r.condition", F.col("r.lineno").alias("line"))
@@ -140,7 +149,7 @@ def _(spark, folder):
     return extract.retrieval_chunks(_files(spark, folder), "filename", "source_code")
 
 
-@query("function_count_python")
+@query("function_count_python", f"""{WITH} SELECT id, len(regexp_extract_all(regexp_replace(source_code, '\"\"\"[\\s\\S]*?\"\"\"', '', 'g'), '(?m)^[ \\t]*(?:async[ \\t]+)?def[ \\t]+\\w+[ \\t]*\\(')) AS n FROM a WHERE language = 'python'""")
 def _(spark, folder):
     return extract.function_counts(_files(spark, folder), "id", "source_code", "language")
 

@@ -127,7 +127,7 @@ def _(spark, folder):
     return V.text_results(_text_logs(spark, folder, line), "function_id", "log", "rust").select("function_id", "nodeid", "outcome")
 
 
-@query("answer_test_code")
+@query("answer_test_code", f"{_JOIN} SELECT violation_id, 'import copy' || chr(10) || chr(10) || regexp_replace(test_code, '\\s+$', '') AS test_code, regexp_extract(test_code, 'def (test_\\w+)', 1) AS test_name FROM (SELECT id AS violation_id, test_code FROM x) WHERE test_code LIKE 'def test_%'")
 def _(spark, folder):
     """The tests of the table wrapped as answers, taken out again."""
     rows = _rows(spark, folder).select("violation_id", "category", F.col("claim_subject").alias("subject"), F.concat(F.lit("Here is the test.\n```python\nimport copy\n"), "test_code", F.lit("\n```\nDone.")).alias("answer"))
