@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 
 from plumbline import schema
 from plumbline.functions import columns as C
+from plumbline.session import written
+
+HOT_ROWS = 1_000_000  # rows of one key that one task may number
 
 
 def once(df: DataFrame, key: str = "id") -> DataFrame:
@@ -34,8 +37,37 @@ def violation_rows(functions: DataFrame, claims: DataFrame, violations: DataFram
     )
 
 
+def number_within(df: DataFrame, key: str, order: list[str], name: str, parts: int = 64) -> DataFrame:
+    """df with a number from 1 within each key in the order of columns that are total there. Keys are not null.
+
+    If one key holds more than HOT_ROWS rows, the rows are spread by ranges of (key, order) instead of by key, and each
+    range adds the rows that its first key has in the ranges before it: no task sees a whole hot key.
+    """
+    w = Window.partitionBy(key).orderBy(*order)
+    largest = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("n")).first()["n"] or 0
+    if largest <= HOT_ROWS:
+        return df.withColumn(name, F.row_number().over(w).cast("bigint"))
+    ranges = written(df.repartitionByRange(parts, key, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    ends = ranges.groupBy("_p").agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
+    # only the first and the last key of a range go on in another: two rows for each range
+    counts = ranges.groupBy("_p", key).agg(F.count(F.lit(1)).alias("_n")).join(F.broadcast(ends), "_p").filter((F.col(key) == F.col("_lo")) | (F.col(key) == F.col("_hi")))
+    before = counts.select("_p", key, (F.sum("_n").over(Window.partitionBy(key).orderBy("_p")) - F.col("_n")).alias("_before"))
+    own = ranges.withColumn("_i", F.row_number().over(Window.partitionBy("_p", key).orderBy(*order)))
+    joined = own.join(F.broadcast(before), ["_p", key], "left")
+    return joined.select(*df.columns, (F.col("_i") + F.coalesce("_before", F.lit(0))).cast("bigint").alias(name))
+
+
+def claims_in_parts(claims: DataFrame, most: int = 10_000) -> DataFrame:
+    """(function_id, part_no from 0, claims): the claims of each function as ordered arrays of at most `most`, so that a
+    function that holds much of the table is many rows. Functions without claims have none."""
+    item = F.struct("source_line", F.col("id").alias("claim_id"), "category", "subject", "predicate_object", "conditionality", "raw_text")
+    placed = number_within(claims.filter("function_id is not null"), "function_id", ["source_line", "id"], "_place").withColumn("part_no", F.floor((F.col("_place") - 1) / most).cast("bigint"))
+    return placed.groupBy("function_id", "part_no").agg(F.sort_array(F.collect_list(item)).alias("claims"))
+
+
 def claims_by_function(functions: DataFrame, claims: DataFrame) -> DataFrame:
-    """Every function with its claims as an ordered array (empty for none); the claims are sorted within their group."""
+    """Every function with its claims as an ordered array (empty for none); the claims are sorted within their group. All
+    claims of a function are one row: where one may hold more than fits there, use claims_in_parts()."""
     item = F.struct("source_line", F.col("id").alias("claim_id"), "category", "subject", "predicate_object", "conditionality", "raw_text")
     grouped = claims.groupBy(F.col("function_id").alias("fid")).agg(F.sort_array(F.collect_list(item)).alias("claims"))
     joined = functions.join(grouped, functions["id"] == grouped["fid"], "left")
@@ -229,10 +261,9 @@ def stages(analyses: DataFrame) -> DataFrame:
 
 def csv_rows(rows: DataFrame) -> DataFrame:
     """The 15 columns of the CSV export, numbered from 1 within each analysis by function, claim and violation id."""
-    w = Window.partitionBy("analysis_id").orderBy("function_name", "claim_id", "violation_id")
     flag = lambda c: F.when(F.col(c) != "", "yes").otherwise("no")
-    return rows.select(
-        "analysis_id", F.row_number().over(w).cast("bigint").alias("row_no"), "function_name", "function_signature", "category", "category_label", "severity", "claim_text", "claim_subject", "claim_predicate", "claim_condition", "outcome", "expected", "actual",
+    return number_within(rows, "analysis_id", ["function_name", "claim_id", "violation_id"], "row_no").select(
+        "analysis_id", "row_no", "function_name", "function_signature", "category", "category_label", "severity", "claim_text", "claim_subject", "claim_predicate", "claim_condition", "outcome", "expected", "actual",
         flag("test_code").alias("has_test_code"), flag("traceback").alias("has_traceback"),
     )
 
@@ -255,8 +286,7 @@ def report_lines(analyses: DataFrame, rows: DataFrame) -> DataFrame:
     cat = rows.groupBy("analysis_id", "category").agg(F.count(F.lit(1)).alias("n"), F.first("category_label").alias("l"), F.first("severity").alias("s")).select(
         "analysis_id", F.array(F.lit(2), F.lit(0)).alias("place"), F.col("category").alias("sub"), F.format_string("[%s] %s: %d, severity %s", "category", "l", "n", F.upper("s")).alias("line")
     )
-    w = Window.partitionBy("analysis_id").orderBy("function_name", "claim_id", "violation_id")
-    numbered = rows.withColumn("no", F.row_number().over(w))
+    numbered = number_within(rows, "analysis_id", ["function_name", "claim_id", "violation_id"], "no").withColumn("no", F.col("no").cast("int"))
     lines = F.concat(
         F.array(F.format_string("VIOLATION #%d", "no"), F.concat(F.lit("Function: "), F.col("function_name"))), F.when(F.col("function_signature") != "", F.array(F.concat(F.lit("Signature: "), C.cut(F.col("function_signature"), 60)))).otherwise(F.array().cast("array<string>")),
         F.array(F.format_string("Category: [%s] %s", "category", "category_label")), F.transform(C.wrapped(F.col("claim_text")), lambda x: F.concat(F.lit("  "), x)), F.array(F.concat(F.lit("Outcome: "), F.col("outcome"))),
@@ -264,8 +294,7 @@ def report_lines(analyses: DataFrame, rows: DataFrame) -> DataFrame:
     )
     detail = numbered.select("analysis_id", "no", F.posexplode(lines).alias("k", "line")).select("analysis_id", F.array(F.lit(3), F.col("no"), F.col("k")).alias("place"), F.lit("").alias("sub"), "line")
     every = part.unionByName(sev).unionByName(cat).unionByName(detail)
-    order = Window.partitionBy("analysis_id").orderBy("place", "sub")
-    return every.select("analysis_id", F.row_number().over(order).cast("bigint").alias("line_no"), "line")
+    return number_within(every, "analysis_id", ["place", "sub"], "line_no").select("analysis_id", "line_no", "line")
 
 
 def text_to_pdf(lines: list[str]) -> bytes:

@@ -113,3 +113,17 @@ def test_scope_removes_what_was_written(spark):
     import os
 
     assert not os.path.exists(path)
+
+
+def test_hot_keys_are_numbered_and_collected_in_parts(spark, monkeypatch):
+    rows = [("hot" if i % 3 else f"k{i % 5}", i % 7, i) for i in range(900)]
+    df = spark.createDataFrame(rows, "key string, o int, id int")
+    plain = sorted(map(tuple, reports.number_within(df, "key", ["o", "id"], "n").collect()))
+    monkeypatch.setattr(reports, "HOT_ROWS", 10)
+    assert sorted(map(tuple, reports.number_within(df, "key", ["o", "id"], "n", parts=8).collect())) == plain
+    assert reports.number_within(df.limit(0), "key", ["o", "id"], "n").collect() == []
+    claims = df.selectExpr("cast(id as string) id", "key as function_id", "o as source_line", "'RSV' category", "'s' subject", "'p' predicate_object", "cast(null as string) conditionality", "'r' raw_text")
+    parts = reports.claims_in_parts(claims, most=50).collect()
+    assert sum(len(r.claims) for r in parts) == 900 and max(len(r.claims) for r in parts) == 50
+    hot = [c.source_line for r in sorted((r for r in parts if r.function_id == "hot"), key=lambda r: r.part_no) for c in r.claims]
+    assert hot == sorted(hot) and len(hot) == 600
