@@ -7,7 +7,7 @@ import hashlib
 from collections.abc import Iterator
 
 #: Methods that change a list, a dict or a set.
-CHANGING = frozenset("sort append extend insert remove pop clear reverse update setdefault popitem add discard".split())
+CHANGING = {"sort", "append", "extend", "insert", "remove", "pop", "clear", "reverse", "update", "setdefault", "popitem", "add", "discard"}
 _DEF = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
