@@ -166,6 +166,11 @@ _SQL = {
     r AS (SELECT id, id AS other FROM n UNION SELECT r.id, p.b FROM r JOIN p ON p.a = r.other), g AS (SELECT id, min(other) AS group_id FROM r GROUP BY 1), l AS (SELECT a AS id, count(*) AS n_links FROM p GROUP BY 1)
     SELECT k.id, class_id, coalesce(group_id, k.id) AS group_id, coalesce(n_links, 0)::BIGINT AS n_links FROM k LEFT JOIN g ON g.id = class_id LEFT JOIN l ON l.id = class_id""",
     "p3_found": "SELECT DISTINCT chunk_id FROM code_chunks WHERE length(content) > 2000",
+    # runs of common sequences of twelve words that go on in step in text and passage: k of them are k + 11 words
+    "p7_items": """WITH d AS (SELECT DISTINCT ON (doc_id) doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents), e AS (SELECT DISTINCT ON (item_id) item_id, regexp_extract_all(lower(passage), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
+    x AS (SELECT doc_id, i, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)), y AS (SELECT item_id, i AS j, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e)),
+    m AS (SELECT doc_id, item_id, i, i - j AS k FROM x JOIN y USING (g)), r AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, k ORDER BY i) AS run FROM m), l AS (SELECT doc_id, item_id, count(*) + 11 AS words FROM r GROUP BY doc_id, item_id, k, run),
+    t AS (SELECT item_id, count(DISTINCT doc_id) AS n_documents, max(words) AS longest FROM l GROUP BY 1) SELECT e.item_id, coalesce(n_documents, 0)::BIGINT AS n_documents, coalesce(longest, 0)::INT AS longest FROM e LEFT JOIN t USING (item_id)""",
     # every run of twelve words of a text that is one of a passage
     "p7_found": """WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents), e AS (SELECT item_id, regexp_extract_all(lower(passage), '[\\p{L}\\p{N}]+') AS w FROM eval_items),
     x AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d)), y AS (SELECT DISTINCT item_id, array_to_string(w[i : i + 11], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS i FROM e))
